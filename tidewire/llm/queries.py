@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, lines, mixing, outliers, urls
+from tidewire.llm import bpe, html, lines, mixing, ngrams, outliers, quality, spans, urls, vectors
 from tidewire.llm._store import materialise, table
 
 
@@ -16,15 +17,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.reject_outliers(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -34,20 +47,37 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_pages(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = materialise(mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "mix-sizes")
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.col("n_chars"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_bpe": op2_bpe,
-        "op4_quality_rules": op4_quality_rules,
-        "op6_line_dedup": op6_line_dedup,
-        "op7_url_filters": op7_url_filters,
-        "op9_mixing": op9_mixing,
-    }
+    found = [
+        op1_ngram_jaccard_join, op2_bpe, op3_quality_classifier, op4_quality_rules, op5_embedding_near_dedup,
+        op6_line_dedup, op7_url_filters, op8_substring_dedup, op9_mixing, op10_html_extraction, pipeline,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.ORACLE, "op7_url_filters": urls.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {
+        "op5_embedding_near_dedup": vectors.ORACLE,
+        "op6_line_dedup": lines.ORACLE,
+        "op7_url_filters": urls.ORACLE,
+        "op9_mixing": mixing.ORACLE,
+    }
