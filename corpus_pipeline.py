@@ -30,8 +30,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    # All columns travel in one, so none of them meets the operator's own names.
+    out = lines.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return out.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.training_order(mixing.mix(mixing.sized(docs))).where(2 * F.col("words") >= F.col("size"))
-    return taken.select(*docs.columns)
+    sizes = mixing.sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))).drop("text")
+    taken = mixing.training_order(mixing.mix(sizes)).where(2 * F.col("words") >= F.col("size"))
+    return taken.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,7 +88,8 @@ def text_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 def statistics() -> list[Column]:
     """The transformed statistic vector of a row that passed the base rule."""
     n, chars = F.col("n_words"), F.col("word_chars")
-    return [F.log1p(n), F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.log1p("n_dup_lines"), F.col("n_repeat_words") / n]
+    # Rows without words have no vector (and are never judged).
+    return [F.log1p(n), F.log(F.try_divide(chars, n)), F.sqrt(F.try_divide(F.col("n_symbols"), chars)), F.log1p("n_dup_lines"), F.try_divide(F.col("n_repeat_words"), n)]
 
 
 def _quantile(counts: DataFrame, keys: list[str], share: float, bins: int, name: str) -> DataFrame:
