@@ -73,6 +73,8 @@ NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 #: Weights of the block classifier (log-odds of content), and of the smoothness edges.
 IN_ARTICLE, OUTSIDE, OTHER_REGION, PER_WORD, WORDS_MAX, PARAGRAPH, LINKS = 4.0, -1.0, -9.0, 0.05, 40, 0.8, -3.0
+#: What blocks get on a page that marks no article.
+UNMARKED = 1.5
 FOLLOWS, SAME_PARENT, ACROSS_REGIONS = 0.5, 0.5, 0.2
 SCALE = 1000
 
@@ -310,7 +312,8 @@ def _source_side(own: list[int], near: list[dict[int, int]], nodes: list[int]) -
 def extract(page: str | None) -> str:
     """The main text of one page."""
     found = blocks(page or "")
-    kept = minimum_cut([content_score(b) for b in found], edges(found))
+    base = 0.0 if any(b.article for b in found) else UNMARKED
+    kept = minimum_cut([content_score(b) + base for b in found], edges(found))
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

@@ -93,9 +93,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     )
 
 
-def filter_pages(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def filter_pages(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", max_rules: int = 200_000) -> DataFrame:
     """``key, host, path, rule, verdict`` of every page."""
-    judged = judge_urls(pages, rules, url, default)
+    judged = judge_urls(pages, rules, url, default, max_rules)
     rows = pages.select(F.col(key), F.col(url).alias("__url"))
     return rows.join(judged, F.col("__url").eqNullSafe(F.col("url")), "left").select(key, "host", "path", "rule", "verdict")
 
