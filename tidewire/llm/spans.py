@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._store import materialise, ship, small_side
+from tidewire.llm._store import materialise, ship
 
 MIN_WORDS = 25
 NO_ID = -(1 << 63)
@@ -126,9 +126,8 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hits = materialise(occurrences.join(shared, ["high", "low"]).where(F.col("id") != F.col("first")).select("id", "high", "low").distinct(), "span-hits")
     # A document's own spans bound its list.
     drops = hits.groupBy("id").agg(F.collect_list(F.struct("high", "low")).alias("__drop")).withColumnRenamed("id", "__id")
-    few = small_side(hits) is not hits
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
-    marked = docs.select(*kept, _id()).join(F.broadcast(drops) if few else drops, "__id", "left").select(*kept, "__drop")
+    marked = docs.select(*kept, _id()).join(drops, "__id", "left").select(*kept, "__drop")
     pair = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType(docs.select(*kept).schema.fields).add("n_sentences", T.LongType()).add("n_removed", T.LongType()).add("removed", T.ArrayType(pair))
     arrow_pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
