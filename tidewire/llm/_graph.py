@@ -32,11 +32,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         before = (now.n, now.h)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Written out, so that the join below has plain exchanges on both sides, which can be split at a hot node.
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "links-least")
         large = (
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "links-large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))

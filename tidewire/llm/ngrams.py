@@ -38,9 +38,9 @@ from tidewire.llm._graph import connected_components
 from tidewire.llm._store import materialise, ship, small_side
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 192
-BLOCK = 512
+BLOCK = 256
 NO_ID = -(1 << 63)
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 _U = np.uint64
 
 
