@@ -122,7 +122,7 @@ def _child(above: _Open, tag: str, attributes: str) -> _Open:
             marked = parts & OTHER_WORDS
             if article or parts & MAIN_WORDS:
                 marked -= HEAD_WORDS
-            if marked and tag not in ("article", "main") or marked & {"comment", "comments", "reply", "replies"}:
+            if marked and tag not in ("article", "main") or marked & {"comment", "reply"}:
                 other += 1
             elif not marked and parts & MAIN_WORDS and tag in ("div", "section", "td"):
                 article = True
