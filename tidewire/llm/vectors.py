@@ -31,27 +31,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.llm._graph import connected_components
 from tidewire.llm._store import materialise, ship, small_side
 
 THRESHOLD = 0.95
 #: Rows that k-means is fitted on, the vectors a cell aims at, and the most cells.
-SAMPLE, CELL, MAX_CELLS = 20_000, 512, 1024
+SAMPLE, CELL, MAX_CELLS = 20_000, 2048, 1024
 SIGMAS = 4.0
 #: Own vectors and others that one comparison task holds.
-OWN_BLOCK, OTHER_BLOCK = 1024, 8192
+OWN_BLOCK, OTHER_BLOCK = 4096, 8192
 NO_ID = -(1 << 63)
 
 
-def _read(batch: pa.RecordBatch, column: int = 1) -> Iterator[np.ndarray | None]:
-    for v in batch.column(column).to_pylist():
-        x = None if v is None or any(e is None for e in v) else np.array(v, np.float64)
+def _read(batch: pa.RecordBatch, kind: type) -> Iterator[np.ndarray | None]:
+    for v in batch.column(1).to_pylist():
+        x = None if v is None or any(e is None for e in v) else np.array(v, kind)
         yield x if x is not None and len(x) and np.isfinite(x).all() and x.any() else None
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 (first by their largest part, so that no square over- or underflows)."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -84,22 +86,28 @@ def visited(x: np.ndarray, centroids: np.ndarray, threshold: float, sigmas: floa
     return cell, [np.flatnonzero(g) for g in goes]
 
 
+def _kind(column: T.DataType) -> tuple[str, type]:
+    """How vectors travel: single precision as it is, everything else double. Arithmetic is always double."""
+    return ("float", np.float32) if column.elementType == T.FloatType() else ("double", np.float64)
+
+
 def _representatives(vectors: DataFrame) -> DataFrame:
     """``(id, high, low, width, v)``; the digest is null where a vector links with nothing."""
     ship(vectors.sparkSession)
+    name, kind = _kind(vectors.schema["embedding"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high, low, width, kept = [], [], [], []
-            for x in _read(batch):
+            for x in _read(batch, kind):
                 a, b = struct.unpack("<qq", xxhash.xxh3_128_digest((x + 0.0).tobytes())) if x is not None else (None, None)
                 high.append(a)
                 low.append(b)
                 width.append(None if x is None else len(x))
-                kept.append(None if x is None else x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(width, pa.int32()), pa.array(kept, pa.list_(pa.float64()))], names=["id", "high", "low", "width", "v"])
+                kept.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(width, pa.int32()), pa.array(kept, pa.list_(pa.from_numpy_dtype(kind)))], names=["id", "high", "low", "width", "v"])
 
-    return vectors.mapInArrow(run, "id bigint, high bigint, low bigint, width int, v array<double>")
+    return vectors.mapInArrow(run, f"id bigint, high bigint, low bigint, width int, v array<{name}>")
 
 
 def _rows(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
@@ -143,13 +151,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
         read.where("high is not null").groupBy("high", "low", "width").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")),
         "vector-classes",
     )
-    widths = [r.width for r in reps.groupBy("width").count().orderBy(F.desc("count"), "width").collect()]  # few lengths
+    main = reps.groupBy("width").count().orderBy(F.desc("count"), "width").first()
     found = None
-    for width in widths:
-        part = _of_width(reps.where(F.col("width") == width), width, threshold, sample)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if main is None:
         found = spark.createDataFrame([], "id bigint, links bigint, other bigint")
+    else:
+        near = _compare(_in_cells(reps.where(F.col("width") == main.width), threshold, sample), threshold)
+        # Vectors of each other length are one cell: compared in blocks, all with all.
+        rest = reps.where(F.col("width") != main.width).select(F.col("width").alias("cell"), F.lit(True).alias("own"), "rep", "copies", "v")
+        found = near.unionByName(_compare(rest, threshold))
     found = materialise(found, "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null"), "id", "other")
@@ -170,7 +180,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     )
 
 
-def _of_width(reps: DataFrame, width: int, threshold: float, sample: int) -> DataFrame:
+def _in_cells(reps: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """``(cell, own, rep, copies, v)``: every vector in its own cell and in those it visits. All have one length."""
     spark = reps.sparkSession
     total = reps.count()
     cut = 1 << 30 if total <= sample else int(sample / total * (1 << 30))
@@ -190,10 +201,17 @@ def _of_width(reps: DataFrame, width: int, threshold: float, sample: int) -> Dat
                 first[np.cumsum(times) - times] = True
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(first), *(batch.column(k).take(take) for k in range(3))], names=["cell", "own", "rep", "copies", "v"])
 
-    placed = materialise(reps.select("rep", "copies", "v").mapInArrow(assign, "cell int, own boolean, rep bigint, copies bigint, v array<double>"), "cells")
+    placed = reps.select("rep", "copies", "v").mapInArrow(assign, f"cell int, own boolean, rep bigint, copies bigint, v {reps.schema['v'].dataType.simpleString()}")
+    return materialise(placed, "cells")
+
+
+def _compare(placed: DataFrame, threshold: float) -> DataFrame:
+    """``(id, links, other)``: link counts of own vectors (other null) and forest edges (links 0), block by block."""
     sizes = placed.groupBy("cell").agg(F.count_if("own").alias("owners"), F.count("*").alias("members"))
-    blocks = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("owners") / OWN_BLOCK)).cast("int").alias("nb"), F.ceil(F.col("members") / OTHER_BLOCK).cast("int").alias("mb"))
-    dealt = placed.join(F.broadcast(blocks), "cell")  # one row per cell, at most MAX_CELLS
+    blocks = materialise(
+        sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("owners") / OWN_BLOCK)).cast("int").alias("nb"), F.ceil(F.col("members") / OTHER_BLOCK).cast("int").alias("mb")), "cell-blocks"
+    )
+    dealt = placed.join(small_side(blocks), "cell")
     salt = F.xxhash64("rep")
     as_other = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(salt, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("own"), "rep", "copies", "v")
     as_own = dealt.where("own").select("cell", F.pmod(F.shiftright(salt, 20), F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), "own", "rep", "copies", "v")
