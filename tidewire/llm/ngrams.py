@@ -269,7 +269,31 @@ def _verify(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> Dat
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each near-duplicate class, columns unchanged."""
-    found = near_duplicates(docs, **how).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("copy_of").alias("__c")).distinct()
+    found = near_duplicates(docs, **how).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
     kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    # Rows that repeat an id are one document.
-    return kept.join(small_side(materialise(found, "kept")), "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    # Rows that repeat an id are one document. The join and the distinct share one shuffle by id.
+    return kept.join(materialise(found, "kept"), "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+
+
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y, c = p.n AND c = q.n AS same FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), classes AS (
+  SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x
+), linked AS (
+  SELECT x AS doc_id, count(*) AS n_links, min(CASE WHEN same THEN y END) AS twin FROM links GROUP BY x
+)
+SELECT d.doc_id, c.class_id, least(d.doc_id, coalesce(l.twin, d.doc_id)) AS copy_of, coalesce(l.n_links, 0) AS n_links, d.doc_id = c.class_id AS kept
+FROM documents d JOIN classes c ON c.doc_id = d.doc_id LEFT JOIN linked l ON l.doc_id = d.doc_id
+"""

@@ -178,3 +178,78 @@ def judge(counts: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> Dat
 def reject_outliers(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document."""
     return judge(materialise(text_counts(docs), "text-counts"))
+
+
+def _oracle() -> str:
+    """The same counts, steps and cut as SQL."""
+    d = list(DIMENSIONS)
+    xs = ", ".join(f"x{i}" for i in d)
+
+    def quantile(rows: str, keys: str, share: float) -> str:
+        return (
+            f"SELECT {keys}, min(bin) AS bin FROM (SELECT {keys}, bin, sum(count(*)) OVER (PARTITION BY {keys} ORDER BY bin) AS run, sum(count(*)) OVER (PARTITION BY {keys}) AS n "
+            f"FROM ({rows}) GROUP BY {keys}, bin) WHERE run >= {share} * n GROUP BY {keys}"
+        )
+
+    def spread(rows: str, values: list[str], name: str) -> str:
+        long = " UNION ALL ".join(f"SELECT g, {i} AS d, CAST(round(({v}) * {VALUE_BINS}) AS BIGINT) AS bin FROM {rows}" for i, v in zip(d, values, strict=True))
+        picked = ", ".join(f"max(CASE WHEN d = {i} THEN bin / {float(VALUE_BINS)} END) AS {name}{i}" for i in d)
+        return f"SELECT g, {picked} FROM ({quantile(long, 'g, d', 0.5)}) GROUP BY g"
+
+    def mahalanobis() -> str:
+        z: list[str] = []
+        for i in d:
+            z.append(f"((x{i} - m{i}" + "".join(f" - l{i}{j} * {z[j]}" for j in range(i)) + f") / l{i}{i})")
+        return " + ".join(f"{v} * {v}" for v in z)
+
+    def estimate(k: int, rows: str, distance: str) -> str:
+        sums = ", ".join([f"sum(x{i}) / count(*) AS m{i}" for i in d] + [f"sum(x{i} * x{j}) / count(*) AS s{i}{j}" for i in d for j in range(i + 1)])
+        out, last = [], f"near{k}"
+        out.append(f"far{k} AS MATERIALIZED (SELECT *, CAST(floor(ln({distance} + 1e-3) * {DISTANCE_BINS}) AS BIGINT) AS bin FROM {rows})")
+        out.append(f"border{k} AS MATERIALIZED ({quantile(f'SELECT g, bin FROM far{k}', 'g', H)})")
+        out.append(f"near{k} AS MATERIALIZED (SELECT f.g, count(*) AS n, {sums} FROM far{k} f JOIN border{k} b ON f.g = b.g WHERE f.bin <= b.bin GROUP BY f.g)")
+        for i in d:
+            for j in range(i + 1):
+                left = f"{CONSISTENCY} * (s{i}{j} - m{i} * m{j})" + (f" + {FLOORS[i] ** 2}" if i == j else "") + "".join(f" - l{i}{c} * l{j}{c}" for c in range(j))
+                value = f"sqrt(greatest({left}, {FLOORS[i] ** 2 / 4}))" if i == j else f"({left}) / l{j}{j}"
+                out.append(f"e{k}_{i}{j} AS (SELECT *, {value} AS l{i}{j} FROM {last})")
+                last = f"e{k}_{i}{j}"
+        ls = ", ".join(f"l{i}{j}" for i in d for j in range(i + 1))
+        out.append(f"est{k} AS MATERIALIZED (SELECT g, n, {', '.join(f'm{i}' for i in d)}, {ls} FROM {last})")
+        return ",\n".join(out)
+
+    scaled = " + ".join(f"((x{i} - med{i}) / (1.4826 * mad{i} + {FLOORS[i]})) * ((x{i} - med{i}) / (1.4826 * mad{i} + {FLOORS[i]}))" for i in d)
+    steps = [estimate(0, "(SELECT r.*, " + ", ".join(f"med{i}, mad{i}" for i in d) + " FROM rows r JOIN med USING (g) JOIN mad USING (g))", scaled)]
+    for k in range(1, STEPS):
+        steps.append(estimate(k, f"(SELECT g, {xs}, dist FROM (SELECT r.g, {xs}, {mahalanobis()} AS dist FROM rows r JOIN est{k - 1} e ON r.g = e.g))", "dist"))
+    return f"""WITH split AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i:i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM windows) WHERE c > 1) GROUP BY doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), counts AS (
+  SELECT s.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM split s LEFT JOIN repeated r ON r.doc_id = s.doc_id LEFT JOIN dup d ON d.doc_id = s.doc_id
+), judged AS MATERIALIZED (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('s' || lang, 'n') || chr(31) || coalesce('s' || source, 'n') AS own, coalesce('s' || lang, 'n') || chr(30) AS pool,
+         ln(1 + n_words) AS x0, ln(word_chars / nullif(n_words, 0)) AS x1, sqrt(n_symbols / nullif(word_chars, 0)) AS x2, ln(1 + n_dup_lines) AS x3, n_repeat_words / nullif(n_words, 0) AS x4
+  FROM counts
+), sizes AS (
+  SELECT own, CASE WHEN count(*) >= {MIN_ROWS} THEN own ELSE pool END AS g FROM judged WHERE NOT base_failed GROUP BY own, pool
+), rows AS MATERIALIZED (
+  SELECT g, {xs} FROM judged JOIN sizes USING (own) WHERE NOT base_failed
+), med AS MATERIALIZED ({spread("rows", [f"x{i}" for i in d], "med")}),
+mad AS MATERIALIZED ({spread("(SELECT r.*, " + ", ".join(f"med{i}" for i in d) + " FROM rows r JOIN med USING (g))", [f"abs(x{i} - med{i})" for i in d], "mad")}),
+{", ".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(CASE WHEN e.n >= {H * MIN_ROWS} THEN {mahalanobis()} END, 0) <= {CUT} AS kept
+FROM judged j LEFT JOIN sizes s ON s.own = j.own LEFT JOIN est{STEPS - 1} e ON e.g = s.g"""
+
+
+ORACLE = _oracle()

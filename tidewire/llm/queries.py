@@ -76,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": ngrams.ORACLE,
+        "op4_quality_rules": outliers.ORACLE,
         "op5_embedding_near_dedup": vectors.ORACLE,
         "op6_line_dedup": lines.ORACLE,
         "op7_url_filters": urls.ORACLE,
