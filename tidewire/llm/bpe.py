@@ -1,8 +1,8 @@
 """BPE encoding by backtracking, decoding by an offset table (operator 2).
 
-Encoding. One Aho-Corasick pass over a word finds, for every start, the longest
-vocabulary entry that matches there. A word is then covered from the left: take
-the longest match, keep it only if it is *compatible* with the token before it,
+Encoding. A word is covered from the left: an Aho-Corasick search finds the
+longest vocabulary entry that matches where the last token ended (every byte
+symbol is an entry, so one does); it stays if it is *compatible* with that token,
 else fall back to the next shorter entry with the same start, else undo the last
 token. Positions that turned out to be dead ends are never tried again, so the
 work is linear in the word. Two tokens are compatible when byte-pair merging of
@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 from tidewire.llm._store import ship
 
-#: Bounds of the per-worker memory of chunks: entries, and the longest chunk kept.
-KEEP_CHUNKS, KEEP_CHARS = 400_000, 48
+#: Bounds of a worker's memories of words and of chunks: entries of a generation, and the longest string kept.
+KEEP, KEEP_CHARS = 200_000, 48
 #: Pairs remembered by the compatibility table before it starts afresh.
-KEEP_PAIRS = 1_000_000
+KEEP_PAIRS = 300_000
 #: Chunks of these characters are their own normal form but for case, and split as PLAIN_WORDS says;
 #: all others go through the tokenizer file's normaliser and splitter.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -120,27 +120,35 @@ class Merges:
             return []
         text = symbols + self.end
         size = len(text)
-        longest: list[str | None] = [None] * size
-        for last, token in self.trie.iter(text):
-            start = last - len(token) + 1
-            if longest[start] is None or len(longest[start]) < len(token):
-                longest[start] = token
+        search, pairs, compatible = self.trie.iter_long, self.pairs, self.compatible
         dead = bytearray(size + 1)
         if self.end:
             dead[size - 1] = 1  # the end mark is no symbol of its own
         taken: list[str] = []
-        at, token = 0, longest[0]
-        while at < size:
-            while token is not None and (dead[at + len(token)] or (taken and not self.compatible(taken[-1], token))):
+        at, before = 0, ""
+        token = next(search(text))[1]
+        while True:
+            # The longest entry that starts here, or the next shorter one that fits.
+            while token is not None:
+                if not dead[at + len(token)]:
+                    if not before:
+                        break
+                    fits = pairs.get((before, token))
+                    if fits if fits is not None else compatible(before, token):
+                        break
                 token = self._next_shorter(token)
             if token is not None:
                 taken.append(token)
                 at += len(token)
-                token = longest[at] if at < size else None
+                if at >= size:
+                    break
+                before = token
+                token = next(search(text, at))[1]
             elif taken:
                 dead[at] = 1
                 token = taken.pop()
                 at -= len(token)
+                before = taken[-1] if taken else ""
                 token = self._next_shorter(token)
             else:
                 raise ValueError(f"no tokens cover {symbols[:40]!r}")
@@ -179,8 +187,8 @@ class Codec:
         self.restated = pieces[:1] == [PLAIN_SPLIT] and steps == ["NFC", "Replace", "Lowercase"]
         byte_symbol = {s[0]: t for s, t in ((c, self.split(c)[0][0]) for c in "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß")} if self.restated else {}
         self.symbols = str.maketrans(byte_symbol)
-        self.words = Words(self.merges, self.kind)
-        self.chunks = Chunks(self)
+        self.words = Memory(lambda word: np.array(self.merges.word(word), self.kind).tobytes())
+        self.chunks = Memory(self.pack)
 
     def pack(self, text: str) -> bytes:
         """Packed ids of a text, word by word."""
@@ -191,7 +199,11 @@ class Codec:
             elif not part:
                 continue
             elif self.restated and PLAIN.fullmatch(part):
-                out += map(self.words.__getitem__, [w.translate(self.symbols) for w in PLAIN_WORDS.findall(part.lower())])
+                low = part.lower()
+                if low.isalpha():
+                    out.append(self.words[low if low.isascii() else low.translate(self.symbols)])
+                    continue
+                out += map(self.words.__getitem__, PLAIN_WORDS.findall(low) if low.isascii() else [w.translate(self.symbols) for w in PLAIN_WORDS.findall(low)])
             else:
                 out += [self.words[w] for w, _ in self.split(self.normalise(part))]
         return b"".join(out)
@@ -218,35 +230,27 @@ class Codec:
         return self.decimals[ids].tobytes().translate(None, b"\0")[:-1]
 
 
-class Words(dict):
-    """Packed ids by word (in byte symbols), filled when a word is first met."""
-
-    def __init__(self, merges: Merges, kind: type):
-        super().__init__()
-        self.merges, self.kind = merges, kind
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.merges.word(word), self.kind).tobytes()
-        if len(word) <= KEEP_CHARS:
-            if len(self) >= KEEP_CHUNKS:
-                self.clear()
-            self[word] = ids
-        return ids
-
+class Memory(dict):
+    """Packed ids by string, made when a string is first met.
 
-class Chunks(dict):
-    """Packed ids by chunk of text between blanks, filled when a chunk is first met."""
+    Two generations of ``KEEP`` entries: when the young one is full it becomes the
+    old one, and what is still in use is taken over from there.
+    """
 
-    def __init__(self, codec: Codec):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.codec = codec
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.codec.pack(chunk)
-        if len(chunk) <= KEEP_CHARS:
-            if len(self) >= KEEP_CHUNKS:
-                self.clear()
-            self[chunk] = ids
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+            if len(key) > KEEP_CHARS:
+                return ids
+        if len(self) >= KEEP:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
         return ids
 
 
