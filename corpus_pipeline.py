@@ -30,10 +30,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # All columns travel in one, so none of them meets the operator's own names.
-    out = lines.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
+    # All other columns travel in one, so none of them meets the operator's own names.
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = lines.dedup_lines(docs.select("doc_id", "text", F.struct(*rest).alias("__row")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    return out.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
+    return out.select(*((new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

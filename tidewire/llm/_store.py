@@ -7,17 +7,23 @@ is cut and no executor holds the only copy of anything.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch. Whole texts travel to Python, so the session's default of 10,000 is too many.
+BATCH_ROWS, BATCH_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +55,9 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run (once a session)."""
+    """Lets Python workers import this package wherever they run, and bounds their batches (once a session)."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tidewire_shipped", False):
         return
@@ -63,5 +71,16 @@ def ship(spark: SparkSession) -> None:
     context._tidewire_shipped = True
 
 
+def release() -> None:
+    """Gives what a Python worker no longer uses back to the machine (called when a task's rows are done).
+
+    Workers are reused, and what they hold on to is missing for the next stage.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidewire.llm._store import ship
+from tidewire.llm._store import release, ship
 
 #: Bounds of a worker's memories of words and of chunks: entries of a generation, and the longest string kept.
 KEEP, KEEP_CHARS = 200_000, 48
@@ -190,6 +190,10 @@ class Codec:
         self.words = Memory(lambda word: np.array(self.merges.word(word), self.kind).tobytes())
         self.chunks = Memory(self.pack)
 
+    def forget(self) -> None:
+        """Drops the memories' old generations, which would otherwise outlive the task in a reused worker."""
+        self.words.old, self.chunks.old = {}, {}
+
     def pack(self, text: str) -> bytes:
         """Packed ids of a text, word by word."""
         out = []
@@ -300,6 +304,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", keep:
                     flat = np.concatenate(arrays).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        with_file.forget()
+        release()
 
     return kept.mapInArrow(run, schema)
 

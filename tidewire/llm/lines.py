@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._store import materialise, ship, small_side
+from tidewire.llm._store import materialise, release, ship, small_side
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Total size of the blobs up to which every worker holds all of them.
@@ -287,6 +287,7 @@ def _rewrite(docs: DataFrame, drop_column: str | None, make_probe, min_chars: in
                 out["n_lines"] = pa.array([len(x) for x in drops], pa.int64())
                 out["n_dropped"] = pa.array([sum(x) for x in drops], pa.int64())
                 yield pa.RecordBatch.from_arrays([out[f.name] for f in schema.fields], names=schema.names)
+        release()
 
     given = docs.select(*columns, F.col("doc_id").cast("bigint").alias("__id"), *([drop_column] if drop_column else []))
     return given.mapInArrow(run, schema)

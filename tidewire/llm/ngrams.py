@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm._graph import connected_components
-from tidewire.llm._store import materialise, ship, small_side
+from tidewire.llm._store import materialise, release, ship, small_side
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 192
 BLOCK = 256
@@ -133,6 +133,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     [some.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))],
                     names=["id", "high", "low", "size", "bands"],
                 )
+        _WORDS.clear()
+        release()
 
     given = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
     return given.mapInArrow(run, "id bigint, high bigint, low bigint, size bigint, bands array<bigint>")
@@ -238,6 +240,8 @@ def _verify(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> Dat
                 ends = np.cumsum([0] + [len(s) for s in own])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(5)), lists], names=["id", "component", "copies", "block", "blocks", "hashes"]).filter(pa.array(same))
+        _WORDS.clear()
+        release()
 
     sized = given.select("node", "component", "copies", "block", "blocks", "high", "low", "text").mapInArrow(
         sets, "id bigint, component bigint, copies bigint, block int, blocks int, hashes array<bigint>"

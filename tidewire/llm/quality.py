@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._store import materialise, ship, small_side
+from tidewire.llm._store import materialise, release, ship, small_side
 
 #: Rows of either sample that the fit uses.
 SAMPLE = 20_000
@@ -92,6 +92,7 @@ def feature_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 some = batch.slice(at, 1024)
                 rows = np.concatenate([features(t) for t in some.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * WIDTH, pa.int32()), pa.array(rows))], names=schema.names)
+        release()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -214,5 +215,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thres
                 some = texts.slice(at, 1024).to_pylist()
                 got = model.score(np.stack([features(t) for t in some])) if model else np.full(len(some), 0.5)
                 yield batch.slice(at, 1024).filter(pa.array(got >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
