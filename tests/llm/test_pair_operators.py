@@ -137,6 +137,18 @@ def test_vectors_match_brute_force(spark, monkeypatch, blocks, dimension):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("intrinsic", [2, 4])
+def test_vectors_of_low_intrinsic_dimension(spark, monkeypatch, intrinsic):
+    monkeypatch.setattr(vectors, "CELL", 150)
+    monkeypatch.setattr(vectors, "OWN_BLOCK", 100)
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(900, intrinsic)) @ np.linalg.qr(rng.normal(size=(64, intrinsic)))[0].T).astype(np.float32)
+    x = np.concatenate([x, x[:40]])  # copies count for both ends of a link
+    got = vectors.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect()
+    links, component = vectors.brute_force(list(range(len(x))), x)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (links[k], component[k]) for k in links}
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     alone = vectors.near_duplicates(spark.createDataFrame([(None, [1.0, 2.0]), (None, None)], "vec_id bigint, embedding array<float>")).collect()

@@ -3,15 +3,17 @@
 1. Vectors that are bitwise equal become one representative with a copy count.
 2. Spherical k-means is fitted on a bounded sample (``SAMPLE`` rows, chosen by a
    hash of the id); every vector is assigned to its nearest centroid, its cell.
-3. A vector also visits each other cell whose centroid is so near that a linked
-   vector could live there. If x (cell c) and y (cell d) have cosine >= t, then
-   ``<y, d - c> <= <y - x, d - c>``, and ``|y - x| <= sqrt(2 - 2t)``; the inner
-   product is at most the product of the norms, and for differences without a
-   preferred direction ``SIGMAS / sqrt(dimension)`` of it (a full bound where that
-   is 1 or more). y visits c unless ``<y, d - c>`` exceeds this.
+3. A vector also visits each other cell that is no further from it than half a
+   link. If x (cell c) and y (cell d) have cosine >= t, then ``<y, d - c> >= 0``,
+   ``<x, c - d> >= 0``, and their sum ``<y - x, d - c>`` is at most
+   ``sqrt(2 - 2t) |d - c|``, so one of the two is at most half of that. y visits c
+   unless ``<y, d - c>`` exceeds this half, and x likewise d: at least one end of
+   every link visits the other's cell, in any dimension and however vectors lie.
 4. A cell's own vectors and its visitors are compared in blocks of cosine
-   products in double precision. Each of its own vectors counts its links there;
-   a block returns counts and a spanning forest of its links, never pairs. Hot
+   products in double precision. Each of its own vectors counts its links there,
+   and a visitor those to own vectors that don't visit its cell in turn (a vector
+   carries a bit for each cell it visits), so both ends count a link just once.
+   A block returns counts and a spanning forest of its links, never pairs. Hot
    cells have many blocks of bounded size, and no task holds more than one.
 5. Components of the forests give the groups; the smallest ``vec_id`` is kept.
 
@@ -39,7 +41,6 @@ from tidewire.llm._store import materialise, ship, small_side
 THRESHOLD = 0.95
 #: Rows that k-means is fitted on, the vectors a cell aims at, and the most cells.
 SAMPLE, CELL, MAX_CELLS = 20_000, 2048, 1024
-SIGMAS = 4.0
 #: Own vectors and others that one comparison task holds.
 OWN_BLOCK, OTHER_BLOCK = 4096, 8192
 NO_ID = -(1 << 63)
@@ -74,14 +75,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return np.unique(centroids, axis=0)
 
 
-def visited(x: np.ndarray, centroids: np.ndarray, threshold: float, sigmas: float = SIGMAS) -> tuple[np.ndarray, list[np.ndarray]]:
+def visited(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """The cell of every unit row, and the other cells it visits."""
     near = x @ centroids.T
     cell = near.argmax(axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))
-    reach = min(1.0, sigmas / np.sqrt(x.shape[1])) * np.sqrt(max(0.0, 2 - 2 * threshold))
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12) / 2
     gap = near[np.arange(len(x)), cell][:, None] - near
-    goes = gap <= reach * apart[cell] + 1e-9
+    goes = gap <= reach * apart[cell] + 1e-7  # more than rounding can move either side
     goes[np.arange(len(x)), cell] = False
     return cell, [np.flatnonzero(g) for g in goes]
 
@@ -116,9 +117,14 @@ def _rows(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
     return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
 
-def compare_block(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each own unit vector to the others (their copies summed), and a spanning forest."""
-    links = np.zeros(len(own), np.int64)
+def compare_block(
+    own: np.ndarray, own_id: np.ndarray, own_copies: np.ndarray, goes: np.ndarray, other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Links of each own unit vector to the others (their copies summed), of each visitor to own vectors that don't visit its cell, and a spanning forest.
+
+    ``goes`` has a row of bits for each own vector, the cells it visits; ``home`` is a visitor's cell, -1 for the cell's own.
+    """
+    links, back = np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)
     node = {int(i): k for k, i in enumerate(np.union1d(own_id, other_id))}
     parent = list(range(len(node)))
 
@@ -133,13 +139,16 @@ def compare_block(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_
         hit = own[at : at + 256] @ other.T >= threshold
         hit &= own_id[at : at + 256, None] != other_id[None, :]
         links[at : at + 256] = hit @ copies
-        for r, c in zip(*np.nonzero(hit), strict=True):
+        rows, columns = np.nonzero(hit)
+        missed = (home[columns] >= 0) & ~goes[at + rows, home[columns]]
+        np.add.at(back, columns[missed], own_copies[at + rows[missed]])
+        for r, c in zip(rows, columns, strict=True):
             i, j = int(own_id[at + r]), int(other_id[c])
             a, b = root(node[i]), root(node[j])
             if a != b:
                 parent[a] = b
                 forest.append((i, j))
-    return links, forest
+    return links, back, forest
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -158,7 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     else:
         near = _compare(_in_cells(reps.where(F.col("width") == main.width), threshold, sample), threshold)
         # Vectors of each other length are one cell: compared in blocks, all with all.
-        rest = reps.where(F.col("width") != main.width).select(F.col("width").alias("cell"), F.lit(True).alias("own"), "rep", "copies", "v")
+        rest = reps.where(F.col("width") != main.width).select(F.col("width").alias("cell"), F.lit(-1).alias("home"), F.lit(b"").alias("goes"), "rep", "copies", "v")
         found = near.unionByName(_compare(rest, threshold))
     found = materialise(found, "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -181,7 +190,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
 
 
 def _in_cells(reps: DataFrame, threshold: float, sample: int) -> DataFrame:
-    """``(cell, own, rep, copies, v)``: every vector in its own cell and in those it visits. All have one length."""
+    """``(cell, home, goes, rep, copies, v)``: every vector in its own cell and in those it visits. All have one length.
+
+    ``home`` is a visitor's own cell; it is -1 in its own cell, where ``goes`` has a bit for each cell (null elsewhere).
+    """
     spark = reps.sparkSession
     total = reps.count()
     cut = 1 << 30 if total <= sample else int(sample / total * (1 << 30))
@@ -197,34 +209,44 @@ def _in_cells(reps: DataFrame, threshold: float, sample: int) -> DataFrame:
                 times = np.array([1 + len(g) for g in goes])
                 take = pa.array(np.repeat(np.arange(len(own)), times))
                 cells = np.concatenate([np.concatenate([[c], g]) for c, g in zip(own, goes, strict=True)])
-                first = np.zeros(len(cells), bool)
-                first[np.cumsum(times) - times] = True
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(first), *(batch.column(k).take(take) for k in range(3))], names=["cell", "own", "rep", "copies", "v"])
-
-    placed = reps.select("rep", "copies", "v").mapInArrow(assign, f"cell int, own boolean, rep bigint, copies bigint, v {reps.schema['v'].dataType.simpleString()}")
+                first = np.cumsum(times) - times
+                home = np.repeat(own, times)
+                home[first] = -1
+                bits = np.zeros((len(own), len(centroids.value)), bool)
+                bits[np.repeat(np.arange(len(own)), times - 1), np.delete(cells, first)] = True
+                masks = np.full(len(cells), None, object)
+                masks[first] = [row.tobytes() for row in np.packbits(bits, axis=1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells.astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(masks, pa.binary()), *(batch.column(k).take(take) for k in range(3))], names=["cell", "home", "goes", "rep", "copies", "v"]
+                )
+
+    placed = reps.select("rep", "copies", "v").mapInArrow(assign, f"cell int, home int, goes binary, rep bigint, copies bigint, v {reps.schema['v'].dataType.simpleString()}")
     return materialise(placed, "cells")
 
 
 def _compare(placed: DataFrame, threshold: float) -> DataFrame:
-    """``(id, links, other)``: link counts of own vectors (other null) and forest edges (links 0), block by block."""
-    sizes = placed.groupBy("cell").agg(F.count_if("own").alias("owners"), F.count("*").alias("members"))
+    """``(id, links, other)``: link counts (other null) and forest edges (links 0), block by block."""
+    sizes = placed.groupBy("cell").agg(F.count_if(F.col("home") < 0).alias("owners"), F.count("*").alias("members"))
     blocks = materialise(
         sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("owners") / OWN_BLOCK)).cast("int").alias("nb"), F.ceil(F.col("members") / OTHER_BLOCK).cast("int").alias("mb")), "cell-blocks"
     )
     dealt = placed.join(small_side(blocks), "cell")
     salt = F.xxhash64("rep")
-    as_other = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(salt, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("own"), "rep", "copies", "v")
-    as_own = dealt.where("own").select("cell", F.pmod(F.shiftright(salt, 20), F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), "own", "rep", "copies", "v")
+    as_other = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(salt, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("own"), "home", F.lit(None).cast("binary").alias("goes"), "rep", "copies", "v")
+    as_own = dealt.where("home < 0").select("cell", F.pmod(F.shiftright(salt, 20), F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), F.lit(True).alias("own"), "home", "goes", "rep", "copies", "v")
 
     def compare(group: pa.Table) -> pa.Table:
         mine = group["own"].to_numpy()
         x, ids, copies = unit(_rows(group, "v")), group["rep"].to_numpy(), group["copies"].to_numpy()
-        counts, forest = compare_block(x[mine], ids[mine], x[~mine], ids[~mine], copies[~mine], threshold)
-        have = np.flatnonzero(counts)
+        masks = [g for g in group["goes"].to_pylist() if g is not None]
+        goes = np.unpackbits(np.frombuffer(b"".join(masks), np.uint8).reshape(len(masks), -1), axis=1).astype(bool) if masks and masks[0] else np.zeros((len(masks), 1), bool)
+        counts, back, forest = compare_block(x[mine], ids[mine], copies[mine], goes, x[~mine], ids[~mine], copies[~mine], group["home"].to_numpy()[~mine], threshold)
+        all_ids, all_counts = np.concatenate([ids[mine], ids[~mine]]), np.concatenate([counts, back])
+        have = np.flatnonzero(all_counts)
         return pa.table(
             {
-                "id": pa.array([*ids[mine][have].tolist(), *(a for a, _ in forest)], pa.int64()),
-                "links": pa.array([*counts[have].tolist(), *(0 for _ in forest)], pa.int64()),
+                "id": pa.array([*all_ids[have].tolist(), *(a for a, _ in forest)], pa.int64()),
+                "links": pa.array([*all_counts[have].tolist(), *(0 for _ in forest)], pa.int64()),
                 "other": pa.array([*(None for _ in have), *(b for _, b in forest)], pa.int64()),
             }
         )
