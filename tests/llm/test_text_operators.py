@@ -139,6 +139,16 @@ def test_outliers(spark):
     assert outliers.reject_outliers(docs(spark, [])).count() == 0
 
 
+def test_outliers_of_rare_languages(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(k, text(rng.randrange(60, 600)), "en", "s", 1) for k in range(120)] + [(200, text(200), "fr", "t", 1), (201, text(200).replace(" ", "*** "), "fr", "t", 1), (202, text(200).replace(" ", "*** "), None, None, 1)]
+    got = {r.doc_id: r for r in outliers.reject_outliers(docs(spark, rows)).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == {201, 202}
+
+
 # Operator 6.
 
 

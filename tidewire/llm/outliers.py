@@ -11,7 +11,9 @@ consistent for regular rows by ``CONSISTENCY``.
 Order statistics come from counts of fixed bins, so no group is ever gathered or
 sorted: all aggregates combine on the map side, a source with a third of all
 rows costs a few rows per task, and reruns agree. Groups with under
-``MIN_ROWS`` rows are pooled by language; pools under it reject nothing.
+``MIN_ROWS`` rows are pooled by language. Rows of pools under it are judged by the
+estimate over all rows, however few there are (the floors regularise it), so
+every row that passes the base rule has a distance.
 
 Rows that fail the base rule are no part of the estimates. Null text: no words,
 all counts 0, base_failed. Null lang or source: groups of their own. Repeated
@@ -34,6 +36,8 @@ H, CONSISTENCY = 0.75, 1.41
 #: Regular rows exceed this squared distance (chi2 with 5) once in a million.
 CUT = 35.888
 STEPS, MIN_ROWS = 3, 50
+#: The group of all rows. (Own groups hold one \x1f, pools end with \x1e.)
+EVERYTHING = "\x1d"
 #: Scatter added to each dimension, as a standard deviation.
 FLOORS = (0.5, 0.08, 0.05, 0.5, 0.1)
 DIMENSIONS = range(len(FLOORS))
@@ -146,16 +150,21 @@ def _mahalanobis() -> Column:
 def judge(counts: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """``counts`` (a materialised :func:`text_counts` table) with ``distance`` and ``kept``.
 
-    ``distance`` is null where the base rule failed or the group was too small to judge.
+    ``distance`` is null where the base rule failed.
     """
     named = [F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")) for c in group]
     own, pool = F.concat_ws("\x1f", *named), F.concat(named[0], F.lit("\x1e"))
     vectors = [v.alias(f"x{i}") for i, v in enumerate(statistics())]
     passed = counts.where(~F.col("base_failed"))
     sizes = materialise(passed.groupBy(own.alias("__own"), pool.alias("__pool")).agg(F.count("*").alias("__n")), "mcd-groups")
-    named_group = F.when(F.col("__n") >= MIN_ROWS, F.col("__own")).otherwise(F.col("__pool"))
+    pools = sizes.where(F.col("__n") < MIN_ROWS).groupBy("__pool").agg(F.sum("__n").alias("__pooled"))
+    pool_of = F.when(F.col("__pooled") >= MIN_ROWS, F.col("__pool")).otherwise(F.lit(EVERYTHING))
+    named_group = F.when(F.col("__n") >= MIN_ROWS, F.col("__own")).otherwise(pool_of)
+    sizes = materialise(sizes.join(pools, "__pool", "left").select("__own", named_group.alias("g")), "mcd-pools")
     xs = [f"x{i}" for i in DIMENSIONS]
-    rows = passed.select(own.alias("__own"), *vectors).join(small_side(sizes), "__own").select(named_group.alias("g"), *xs)
+    rows = passed.select(own.alias("__own"), *vectors).join(small_side(sizes), "__own").select("g", *xs)
+    if sizes.where(F.col("g") == EVERYTHING).limit(1).count():
+        rows = rows.where(F.col("g") != EVERYTHING).unionByName(passed.select(F.lit(EVERYTHING).alias("g"), *vectors))
     columns = [F.col(x) for x in xs]
     medians = materialise(_binned(rows, columns, 0.5, "med"), "mcd-medians")
     off = [F.abs(F.col(f"x{i}") - F.col("med")[i]) for i in DIMENSIONS]
@@ -166,13 +175,12 @@ def judge(counts: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> Dat
     for _ in range(STEPS - 1):
         estimate = _estimate(rows.join(small_side(estimate), "g").withColumn("__d", _mahalanobis()).select("g", *xs, "__d"), F.col("__d"))
     given = [c for c in counts.columns if c not in ("distance", "kept")]
-    # 0.75 of a judged group's rows made its last estimate.
     judged = (
-        counts.select(*given, own.alias("__own"), *vectors).join(small_side(sizes.select("__own", named_group.alias("g"))), "__own", "left")
-        .join(small_side(estimate.withColumnRenamed("n", "__h")), "g", "left")
-        .withColumn("distance", F.when(~F.col("base_failed") & (F.col("__h") >= H * MIN_ROWS), _mahalanobis()))
+        counts.select(*given, own.alias("__own"), *vectors).join(small_side(sizes), "__own", "left")
+        .join(small_side(estimate.drop("n")), "g", "left")
+        .withColumn("distance", F.when(~F.col("base_failed"), _mahalanobis()))
     )
-    return judged.select(*given, "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)).alias("kept"))
+    return judged.select(*given, "distance", (~F.col("base_failed") & (F.col("distance") <= CUT)).alias("kept"))
 
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
