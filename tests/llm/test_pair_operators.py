@@ -94,6 +94,17 @@ def test_null_ids_and_no_rows(spark):
     assert ngrams.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_ids_that_are_null_or_repeat(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    near = text("a").replace("a39", "z")  # linked with text a
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("b")), (7, text("d")), (7, text("e")), (8, near), (5, text("e")), (9, None), (9, text("f"))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngrams.near_duplicates(table).collect())
+    assert got == Counter([(None, None, 1), (None, None, 1), (None, None, 0), (None, None, 1), (7, 7, 0), (7, 5, 1), (8, None, 1), (5, 5, 1), (9, 9, 0), (9, 9, 0)])
+    kept = Counter((r.doc_id, r.text) for r in ngrams.keep_one(table).collect())
+    assert kept == Counter([(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (5, text("e")), (9, None), (9, text("f"))])
+
+
 def test_banding_reaches_its_recall():
     bands, rows = ngrams.choose_bands(0.8)
     assert bands * rows <= ngrams.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= ngrams.RECALL

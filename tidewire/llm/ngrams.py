@@ -1,9 +1,10 @@
 """N-gram Jaccard join by MinHash banding (operator 1).
 
 1. A text's set of ``n``-word shingles (words: runs without ``[\\x20\\x09-\\x0D]``)
-   is hashed to 64 bits each. Texts with equal sets form a class; from here on
-   one representative (the smallest ``doc_id``) stands for it, however many
-   copies there are.
+   is hashed to 64 bits each. Texts with equal sets form a class with a number of
+   its own; from here on one representative (the row with the smallest
+   ``doc_id``) stands for it, however many copies there are. Ids may be null or
+   repeat with other texts: nothing is keyed by an id alone.
 2. Rows per band are the most that reach ``RECALL`` at the threshold within
    ``MAX_HASHES`` hash functions. Representatives are shuffled on band hashes; a
    band's members are tied to its smallest member, never to each other, and the
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm._graph import connected_components
@@ -111,8 +112,12 @@ class Signer:
         return _mixed(of_rows.sum(axis=1, dtype=np.uint64) + self.band_shift).view(np.int64)
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``(id, high, low, size, bands)`` of every row; ``bands`` is empty where there is no shingle."""
+    """``(id, key, high, low, size, bands)`` of every row (``key``: a hash of the text); ``bands`` is empty where there is no shingle."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +126,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 high, low, size, hashes = [], [], [], []
-                for text in some.column(1).to_pylist():
+                for text in some.column(2).to_pylist():
                     own = shingles(text, n)
                     a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(own.tobytes()))
                     high.append(a)
@@ -130,14 +135,14 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     hashes.append(sign(own) if len(own) else np.empty(0, np.int64))
                 ends = np.cumsum([0] + [len(x) for x in hashes])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))],
-                    names=["id", "high", "low", "size", "bands"],
+                    [some.column(0), some.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))],
+                    names=["id", "key", "high", "low", "size", "bands"],
                 )
         _WORDS.clear()
         release()
 
-    given = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
-    return given.mapInArrow(run, "id bigint, high bigint, low bigint, size bigint, bands array<bigint>")
+    given = docs.select(_id().alias("id"), F.xxhash64("text").alias("key"), "text")
+    return given.mapInArrow(run, "id bigint, key bigint, high bigint, low bigint, size bigint, bands array<bigint>")
 
 
 def verify_blocks(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -190,26 +195,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     with the same shingle set; ``n_links``: other rows linked directly, copies
     included; ``kept``: the row has its class's smallest doc_id.
     """
-    bands, rows = choose_bands(threshold, recall)
-    signed = materialise(signatures(docs, n, bands, rows), "signatures")
-    filled = signed.where("size > 0")
-    classes = materialise(filled.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    ties = banded.join(shared, "band").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    groups = materialise(connected_components(ties).join(classes.select(F.col("rep").alias("node"), "copies", "high", "low"), "node"), "groups")
-    verified = materialise(_verify(docs, groups, n, threshold), "verified")
-    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    components = connected_components(verified.where("other is not null"), "id", "other")
-    by_class = materialise(
-        classes.select("high", "low", "rep", "copies")
-        .join(links.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("high", "low", "rep", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")),
-        "by-class",
-    )
+    joined = _grouped(docs, n, threshold, recall)
     own = F.when(F.col("id") != NO_ID, F.col("id"))
-    joined = signed.select("id", "size", "high", "low").join(by_class, ["high", "low"], "left")
     empty = F.col("size") == 0
 
     def known(c: str):
@@ -224,18 +211,49 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     )
 
 
+def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """``(id, key, size, rep, component, component_key, n_links)`` of every row; the last four are null without shingles.
+
+    ``rep``: the smallest id of the row's class; ``component, component_key``: the smallest id, and its text's key, of all classes reachable.
+    """
+    bands, rows = choose_bands(threshold, recall)
+    signed = materialise(signatures(docs, n, bands, rows), "signatures")
+    classes = signed.where("size > 0").groupBy("high", "low").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # Numbered once: the numbers are read back from here on.
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", F.col("first.id").alias("rep"), F.col("first.key").alias("key"), "copies", "bands"), "classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    ties = banded.join(shared, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = materialise(connected_components(ties).join(classes.select("node", "rep", "key", "copies", "high", "low"), "node"), "groups")
+    verified = materialise(_verify(docs, groups, n, threshold), "verified")
+    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
+    components = connected_components(verified.where("other is not null"), "id", "other")
+    least = components.join(classes.select("node", "rep", "key"), "node").groupBy("component").agg(F.min(F.struct("rep", "key")).alias("least"))
+    by_class = materialise(
+        classes.select("node", "high", "low", "rep", "key", "copies")
+        .join(links.withColumnRenamed("id", "node"), "node", "left")
+        .join(components.join(least, "component"), "node", "left")
+        .withColumn("least", F.coalesce("least", F.struct("rep", "key")))
+        .select(
+            "high", "low", "rep", F.col("least.rep").alias("component"), F.col("least.key").alias("component_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        ),
+        "by-class",
+    )
+    return signed.select("id", "key", "size", "high", "low").join(by_class, ["high", "low"], "left")
+
+
 def _verify(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
     """``(id, links, other)``: link counts (other null) and forest edges (links 0)."""
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = materialise(groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
-    given = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("node"), "text").join(small_side(members), "node")
+    given = docs.select(_id().alias("rep"), F.xxhash64("text").alias("key"), "text").join(small_side(members), ["rep", "key"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 own = [shingles(t, n) for t in some.column(7).to_pylist()]
-                # Rows that repeat a representative's id with another text are not the representative.
+                # Should another text of a representative's id have its key too, it is not the representative.
                 same = [struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes())) == (a, b) for s, a, b in zip(own, some.column(5).to_pylist(), some.column(6).to_pylist(), strict=True)]
                 ends = np.cumsum([0] + [len(s) for s in own])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
@@ -271,12 +289,13 @@ def _verify(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> Dat
     return dealt.groupBy("component", "lower", "upper").applyInArrow(compare, "id bigint, links bigint, other bigint")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each near-duplicate class, columns unchanged."""
-    found = near_duplicates(docs, **how).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
-    kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    # Rows that repeat an id are one document. The join and the distinct share one shuffle by id.
-    return kept.join(materialise(found, "kept"), "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    grouped = _grouped(docs, n, threshold, recall)
+    found = grouped.where("size = 0 or (id = component and key = component_key)").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    kept = docs.withColumn("__id", _id()).withColumn("__key", F.xxhash64("text"))
+    # Rows that repeat an id and its text are one document. The join and the distinct share one shuffle.
+    return kept.join(materialise(found, "kept"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
 
 
 ORACLE = r"""
