@@ -255,3 +255,16 @@ def test_synthetic_articles(spark, sf):
         want[r.page_id] = "\n".join(x for x in (" ".join(unescape(p).split()) for p in parts) if x)
     got = html.extract_pages(pages.withColumn("n_chars", F.lit(1)))
     assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_article_inside_a_marked_region():
+    long = " ".join(f"word{k}" for k in range(45))
+    article = f"<article><h2>Short title</h2><p>{long}</p><p>And a line.</p><p>{long}</p></article>"
+    want = f"Short title\n{long}\nAnd a line.\n{long}"
+    for around in ("<form action=x>{}</form>", "<div class='layout sidebar-right'>{}</div>"):
+        assert html.extract("<body>" + around.format("<ul><li><a href=x>Home</a></li></ul>" + article) + "</body>") == want
+    # Cards have short blocks only; hidden and comment regions stay out.
+    cards = "<div class=related>" + "<article><h3>Read more</h3><p>A teaser.</p></article>" * 3 + "</div>"
+    hidden = f"<div hidden>{article}</div><div class=comments>{article}</div>"
+    assert html.extract(f"<body>{article}{cards}{hidden}</body>") == want
+    assert html.extract("<article><p>Mass <math><mi>m</mi><annotation>\\m</annotation></math> grows.</p></article>") == "Mass m grows."

@@ -40,7 +40,7 @@ BLOCKS = frozenset(
     "summary table tbody td template tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes iframe svg math template".split())
+RAW = frozenset("script style textarea title xmp noembed noframes iframe svg annotation annotation-xml template".split())
 #: Elements that close an open one of the same kind, up to the listed scope.
 SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -61,6 +61,8 @@ OTHER_WORDS = frozenset(
     "skip widget copyright legal disclaimer".split()
 )
 MAIN_WORDS = frozenset("article content post entry story main".split())
+#: Marks that an article inside them doesn't weaken.
+FIRM_WORDS = frozenset("comment comments respond reply replies disqus discussion".split())
 HEAD_WORDS = frozenset("header masthead banner".split())
 
 TOKEN = re.compile(
@@ -73,6 +75,8 @@ NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 #: Weights of the block classifier (log-odds of content), and of the smoothness edges.
 IN_ARTICLE, OUTSIDE, OTHER_REGION, PER_WORD, WORDS_MAX, PARAGRAPH, LINKS = 4.0, -1.0, -9.0, 0.05, 40, 0.8, -3.0
+#: What regions around a marked article take from its blocks: its long paragraphs outweigh it, short blocks go with their neighbours.
+OUTER_REGION = -4.9
 #: What blocks get on a page that marks no article.
 UNMARKED = 1.5
 FOLLOWS, SAME_PARENT, ACROSS_REGIONS = 0.5, 0.5, 0.2
@@ -82,22 +86,22 @@ SCALE = 1000
 class _Open:
     """An open element with what its blocks inherit."""
 
-    __slots__ = ("article", "link", "other", "tag")
+    __slots__ = ("article", "firm", "link", "other", "outer", "tag")
 
-    def __init__(self, tag: str, article: bool, other: int, link: bool):
-        self.tag, self.article, self.other, self.link = tag, article, other, link
+    def __init__(self, tag: str, article: bool, other: int, link: bool, firm: int = 0, outer: bool = False):
+        self.tag, self.article, self.other, self.link, self.firm, self.outer = tag, article, other, link, firm, outer
 
 
 class Block:
-    __slots__ = ("article", "linked", "other", "parent", "size", "tag", "text")
+    __slots__ = ("article", "linked", "other", "outer", "parent", "size", "tag", "text")
 
-    def __init__(self, text: str, tag: str, parent: int, article: bool, other: int, linked: int):
-        self.text, self.tag, self.parent, self.article, self.other, self.linked = text, tag, parent, article, other, linked
+    def __init__(self, text: str, tag: str, parent: int, article: bool, other: int, linked: int, outer: bool = False):
+        self.text, self.tag, self.parent, self.article, self.other, self.linked, self.outer = text, tag, parent, article, other, linked, outer
         self.size = text.count(" ") + 1
 
 
 def _child(above: _Open, tag: str, attributes: str) -> _Open:
-    article, other = above.article, above.other
+    article, other, firm, outer = above.article, above.other, above.firm, above.outer
     if tag in ("article", "main"):
         article = True
     elif tag in OTHER_TAGS or (tag == "header" and not article):
@@ -113,6 +117,7 @@ def _child(above: _Open, tag: str, attributes: str) -> _Open:
                 role = value.strip()
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 other += 1
+                firm += 1
         if role in OTHER_ROLES and not (article and role == "banner"):
             other += 1
         if role in ("main", "article"):
@@ -124,9 +129,13 @@ def _child(above: _Open, tag: str, attributes: str) -> _Open:
                 marked -= HEAD_WORDS
             if marked and tag not in ("article", "main") or marked & {"comment", "reply"}:
                 other += 1
+                firm += bool(marked & FIRM_WORDS)
             elif not marked and parts & MAIN_WORDS and tag in ("div", "section", "td"):
                 article = True
-    return _Open(tag, article, other, above.link or tag == "a")
+    if article and not above.article:  # regions around the article are only a hint
+        outer = above.other > above.firm
+        other -= above.other - above.firm
+    return _Open(tag, article, other, above.link or tag == "a", firm, outer)
 
 
 def blocks(page: str) -> list[Block]:
@@ -145,7 +154,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in BLOCKS or k == 0), 0)
                 near = stack[top]
-                out.append(Block(text, near.tag, parents[max(0, top - 1)], near.article, near.other, min(linked, len(text))))
+                out.append(Block(text, near.tag, parents[max(0, top - 1)], near.article, near.other, min(linked, len(text)), near.outer))
             pieces.clear()
         linked = 0
 
@@ -234,7 +243,7 @@ def content_score(block: Block) -> float:
         score += PARAGRAPH
     if not block.article:
         score += LINKS * block.linked / len(block.text)
-    return score + OTHER_REGION * min(block.other, 2)
+    return score + OTHER_REGION * min(block.other, 2) + OUTER_REGION * block.outer
 
 
 def edges(found: list[Block]) -> dict[tuple[int, int], float]:
@@ -244,7 +253,7 @@ def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     for k, block in enumerate(found):
         for j, weight in ((k - 1, FOLLOWS), (last.get(block.parent, -1), SAME_PARENT)):
             if j >= 0:
-                alike = (found[j].other > 0) == (block.other > 0) and found[j].article == block.article
+                alike = (found[j].other > 0) == (block.other > 0) and found[j].article == block.article and found[j].outer == block.outer
                 out[j, k] = out.get((j, k), 0.0) + (weight if alike else weight * ACROSS_REGIONS)
         last[block.parent] = k
     return out
