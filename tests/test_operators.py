@@ -163,3 +163,18 @@ def test_watermarked_dedupe(spark, tmp_path):
     got = streaming.distinct_deliveries(stream, "t", ["k"])
     got.writeStream.format("memory").queryName("distinct_deliveries").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
     assert spark.table("distinct_deliveries").count() == 2
+
+
+def test_event_links_cover_all_events(spark):
+    from tidewire.operators.crawl import reach
+    from tidewire.plans.crawl_queries import event_links
+
+    n = 3000
+    edges = {(k, k * 3 % n) for k in range(n)} | {(k, k + 1) for k in range(0, n, 4)}
+    links = event_links(spark.range(n).withColumnRenamed("id", "event_id"))
+    assert {(r.source, r.target) for r in links.collect()} == edges
+    depth, edge = {1004: 0}, {1004}
+    for k in (1, 2, 3):
+        edge = {b for a, b in edges if a in edge} - set(depth)
+        depth |= dict.fromkeys(edge, k)
+    assert {r.node: r.depth for r in reach(spark.range(1004, 1005).withColumnRenamed("id", "node"), links, 3).collect()} == depth
