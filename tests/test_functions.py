@@ -143,3 +143,12 @@ def test_containers():
     assert html.choose_container(page)["selector"] == "article"
     assert html.body(page, "article", "", 80) == words
     assert html.body("<article>short</article>", "article", "fall\n\n\n\nback") == "fall\n\nback"
+
+
+def test_words_of_every_document(spark, tmp_path):
+    from tidewire.plans.catalog import QUERIES
+
+    rows = [(1, "plain words here.", 3), (2, None, 0), (3, "", 0), (4, "don't stop; 24-hour e-mail\t№ 7", 5), (5, "cafe\u0301 ok (x_y)", 3), (6, "- ' #tag", 1)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["word_count_all"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.words for r in got} == {i: n for i, _, n in rows}

@@ -79,6 +79,11 @@ def word_count(spark, sf):
     return plain.select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
+@query()
+def word_count_all(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
 @query("SELECT doc_id, nullif(trim(regexp_extract(text, '^\\s*[^.!?\\n]+[.!?]?', 0)), '') AS sentence FROM documents")
 def first_sentence(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
