@@ -268,3 +268,82 @@ def test_article_inside_a_marked_region():
     hidden = f"<div hidden>{article}</div><div class=comments>{article}</div>"
     assert html.extract(f"<body>{article}{cards}{hidden}</body>") == want
     assert html.extract("<article><p>Mass <math><mi>m</mi><annotation>\\m</annotation></math> grows.</p></article>") == "Mass m grows."
+
+
+#: Pages that mark no article and name no region, with the text that is theirs.
+_L = [" ".join(f"{c}{k}" for k in range(45)) + "." for c in "abcdef"]
+MESSY = [
+    # A link list and a one-word line among paragraphs; link rows and a copyright line around them.
+    (
+        f"<div><div><a href=1>One</a></div><div><a href=2>Two</a></div></div><div><p>{_L[0]}</p><p>{_L[1]}</p><ul><li><a href=x>Part</a> one</li><li>Part two</li></ul><p>{_L[2]}</p><div>So</div><p>{_L[3]}</p></div>"
+        "<table><tr><td><a href=3>Three</a></td><td><a href=4>Four</a></td><td>2020</td></tr></table>",
+        [_L[0], _L[1], "Part one", "Part two", _L[2], "So", _L[3]],
+    ),
+    # A caption made of one link between paragraphs of plain divs, and a slogan among link rows.
+    (
+        f"<div><span><a href=1>Start</a></span></div><div>Fast</div><div><a href=2>Contact us</a></div><div><a href=5>Jobs</a></div><section><div>{_L[0]}</div><div><a href=z>{'see the figure ' * 3}</a></div><div>{_L[1]}</div><div>{_L[4]}</div></section>",
+        [_L[0], ("see the figure " * 3).strip(), _L[1], _L[4]],
+    ),
+    # Boilerplate without telling names after a marked article in a form.
+    (f"<form><article><p>{_L[0]}</p><p>Yes</p><p>{_L[5]}</p></article></form><div><div><a href=1>Next</a></div><div><a href=2>Back</a></div></div>", [_L[0], "Yes", _L[5]]),
+]
+
+
+def test_the_cut_decides_on_messy_pages(monkeypatch):
+    calls, plain = [], html._source_side
+    monkeypatch.setattr(html, "_source_side", lambda *a: calls.append(1) or plain(*a))
+    model, changed = html.Model(), 0
+    for page, want in MESSY:
+        found = html.blocks(page)
+        scores = [model.score(html.code(b, any(x.article for x in found))) for b in found]
+        cut = html.minimum_cut(scores, html.edges(found))
+        changed += sum((s > 0) != k for s, k in zip(scores, cut, strict=True))
+        assert [b.text for b, k in zip(found, cut, strict=True) if k] == want == html.extract(page).split("\n")
+    assert changed >= 4 and len(calls) >= 2
+
+
+def test_whole_pages_match_all_labellings():
+    for page in [*(p for p, _ in MESSY), PAGE.replace("article", "div").replace("main", "div")]:
+        found = html.blocks(page)[:16]
+        model = html.Model()
+        marks = any(b.article for b in found)
+        own, joined = [round(model.score(html.code(b, marks)) * html.SCALE) for b in found], {k: round(w * html.SCALE) for k, w in html.edges(found).items()}
+        bits = np.array(list(product([0, 1], repeat=len(found))))
+        cost = np.where(bits, np.maximum(0, -np.array(own)), np.maximum(0, np.array(own))).sum(axis=1)
+        for (a, b), w in joined.items():
+            cost = cost + w * (bits[:, a] != bits[:, b])
+        got = html.minimum_cut([model.score(html.code(b, marks)) for b in found], html.edges(found))
+        assert cost[(bits == np.array(got)).all(axis=1)][0] == cost.min()
+
+
+def test_classifier_is_learned(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = html.fit(pages)
+    assert model.weights != html.Model().weights
+    right = total = 0
+    for r in pages.where("crc32(cast(url AS binary)) % 5 = 0").collect():  # held out, marks hidden
+        truth = [b.article and not b.other for b in html.blocks(r.html)]
+        found = html.blocks(r.html.replace("article>", "div>"))
+        got = html.minimum_cut([model.score(html.code(b, False)) for b in found], html.edges(found))
+        right, total = right + sum(a == b for a, b in zip(got, truth, strict=True)), total + len(truth)
+    assert total > 200 and right / total > 0.98
+    assert html.fit(pages.limit(0)).weights == html.Model().weights
+    with pytest.raises(ValueError):
+        html.extract_pages(pages.withColumn("text", F.lit("x")), keep=("page_id", "text"))
+
+
+def test_weights_are_the_maximum():
+    rng = random.Random(11)
+    counts = {((1, 0, 0, k % 7, k % 4, k % 3, k % 2), k % 5 < 3): rng.randrange(1, 9) for k in range(40)}
+    best, prior = np.array(html.fit_weights(counts)), np.array(list(html.PRIOR.values()))
+    scale = html.ROWS / sum(counts.values())
+
+    def loss(w):
+        z = {key: float(np.dot(w, html.features(key[0]))) for key in counts}
+        return sum(n * scale * (np.logaddexp(0, z[k]) - k[1] * z[k]) for k, n in counts.items()) + ((w - prior) ** 2).sum() / (2 * html.DEVIATION**2)
+
+    for j in range(len(best)):
+        for step in (-1e-3, 1e-3):
+            w = best.copy()
+            w[j] += step
+            assert loss(w) > loss(best)
