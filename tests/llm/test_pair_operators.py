@@ -88,6 +88,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in got})
 
 
+def test_chains_are_dealt_by_bucket(spark, monkeypatch):
+    """A long chain of near-duplicates with a dense group in it: pairs in several buckets count once."""
+    tags, plain = [], ngrams.materialise
+    monkeypatch.setattr(ngrams, "materialise", lambda df, tag: tags.append(tag) or plain(df, tag))
+    monkeypatch.setattr(ngrams, "BLOCK", 4)
+    words = [f"w{k}" for k in range(5500)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 90])) for k in range(900)]
+    rows += [(3000 + k, " ".join(words[30:120]).replace(f"w{40 + k}", "x")) for k in range(12)] + [(4000, rows[7][1])]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == Counter(brute_joins(rows))
+    assert "bucket-units" in tags
+
+
 def test_null_ids_and_no_rows(spark):
     got = ngrams.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.kept) for r in got), key=repr) == sorted([(None, None, 1, True), (3, None, 1, False), (4, 4, 0, True)], key=repr)

@@ -17,6 +17,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ BATCH_ROWS, BATCH_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where it is unset (tests)."""
+    """The cluster's checkpoint folder. A temporary one only where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewire-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,6 +48,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that numbers its rows, the same whenever and wherever they are read.
+
+    Rows of Parquet files have their file and place in it; any other frame is written first.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):  # these neither repeat nor merge rows
+        plan = plan.children().head()
+    if plan.children().isEmpty() and not plan.metadataOutput().isEmpty():
+        with contextlib.suppress(AnalysisException):  # raised where files don't number their rows
+            return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+    ids = F.monotonically_increasing_id()
+    return materialise(df.select("*", F.struct(F.lit(0).cast("bigint").alias("file"), ids.alias("row")).alias(name)), "numbered")
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted rows stay within ``max_rows``.
 

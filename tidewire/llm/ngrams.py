@@ -2,25 +2,28 @@
 
 1. A text's set of ``n``-word shingles (words: runs without ``[\\x20\\x09-\\x0D]``)
    is hashed to 64 bits each. Texts with equal sets form a class with a number of
-   its own; from here on one representative (the row with the smallest
+   its own; from here on one representative (a row with the smallest
    ``doc_id``) stands for it, however many copies there are. Ids may be null or
    repeat with other texts: nothing is keyed by an id alone.
 2. Rows per band are the most that reach ``RECALL`` at the threshold within
    ``MAX_HASHES`` hash functions. Representatives are shuffled on band hashes; a
    band's members are tied to its smallest member, never to each other, and the
    ties' connected parts are the candidate groups.
-3. Full shingle sets of candidates only are computed again and dealt to pairs of
-   blocks of a group (``BLOCK`` representatives each), where every pair is
-   verified through postings of shared shingles. A task returns link counts and
-   a spanning forest of the verified links, so nothing grows with the square of
-   a group but the comparisons that the counts ask for, and no task holds more
-   than two blocks.
+3. Full shingle sets of candidates only are computed again and dealt to units.
+   A unit is a whole candidate group, or one band bucket where dealing a group's
+   buckets moves fewer sets (long chains of buckets); buckets with the same
+   members are one. In a unit of more than a few dozen members, blocks of bounded
+   numbers and shingles are dealt to pairs of blocks. Each pair of a unit is
+   verified through postings of shared shingles, and counts in the first unit
+   that holds both. A task returns link counts and a spanning forest of the
+   verified links, so nothing grows with the square of a unit but the comparisons
+   that the counts ask for, and no task holds more than two blocks.
 4. The forests' connected components are the near-duplicate classes.
 
 Texts with 1 to ``n - 1`` words have one shingle, all their words. Null, empty
 and blank texts have none: they link with nothing and are classes of their own.
-Repeated rows are copies. A null ``doc_id`` sorts below all others. An empty
-table gives no rows.
+Repeated rows are copies; ``keep_one`` keeps one of rows that share id and text.
+A null ``doc_id`` sorts below all others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm._graph import connected_components
-from tidewire.llm._store import materialise, release, ship, small_side
+from tidewire.llm._store import materialise, numbered, release, ship, small_side
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 192
-BLOCK = 256
+#: Representatives of a block (a quarter of it in units of few blocks), and shingles of a block that holds several.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 NO_ID = -(1 << 63)
 KEEP_WORDS = 150_000
 _U = np.uint64
@@ -117,7 +121,7 @@ def _id() -> Column:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``(id, key, high, low, size, bands)`` of every row (``key``: a hash of the text); ``bands`` is empty where there is no shingle."""
+    """``(id, key, row, high, low, size, bands)`` of every numbered row (``key``: a hash of the text); ``bands`` is empty where there is no shingle."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +130,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 high, low, size, hashes = [], [], [], []
-                for text in some.column(2).to_pylist():
+                for text in some.column(3).to_pylist():
                     own = shingles(text, n)
                     a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(own.tobytes()))
                     high.append(a)
@@ -135,20 +139,23 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     hashes.append(sign(own) if len(own) else np.empty(0, np.int64))
                 ends = np.cumsum([0] + [len(x) for x in hashes])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))],
-                    names=["id", "key", "high", "low", "size", "bands"],
+                    [some.column(0), some.column(1), some.column(2), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))],
+                    names=["id", "key", "row", "high", "low", "size", "bands"],
                 )
         _WORDS.clear()
         release()
 
-    given = docs.select(_id().alias("id"), F.xxhash64("text").alias("key"), "text")
-    return given.mapInArrow(run, "id bigint, key bigint, high bigint, low bigint, size bigint, bands array<bigint>")
+    given = docs.select(_id().alias("id"), F.xxhash64("text").alias("key"), F.col("__row").alias("row"), "text")
+    return given.mapInArrow(run, "id bigint, key bigint, row struct<file: bigint, row: bigint>, high bigint, low bigint, size bigint, bands array<bigint>")
 
 
-def verify_blocks(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Link counts by id, and a spanning forest of the links, among the rows of two blocks of a group.
+def verify_blocks(
+    ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], threshold: float, before: list[set[int]] | None = None
+) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Link counts by id, and a spanning forest of the links, among the rows of two blocks of a unit.
 
     With ``pair`` (k, k) all pairs of block k are compared, else those across the two blocks.
+    ``before``: units of each row that count before this one; pairs that share any are left to it.
     """
     left = np.flatnonzero(block == pair[0])
     right = left if pair[0] == pair[1] else np.flatnonzero(block == pair[1])
@@ -177,6 +184,8 @@ def verify_blocks(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets:
         union = size[left] + size[r] - shared
         found = left[shared >= threshold * union - 1e-9]
         found = found[found != r]
+        if before and before[r]:
+            found = found[[before[r].isdisjoint(before[k]) for k in found]] if len(found) else found
         links[r] += copies[found].sum()
         if pair[0] != pair[1]:
             links[found] += copies[r]
@@ -195,7 +204,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     with the same shingle set; ``n_links``: other rows linked directly, copies
     included; ``kept``: the row has its class's smallest doc_id.
     """
-    joined = _grouped(docs, n, threshold, recall)
+    joined = _grouped(numbered(docs.select("doc_id", "text"), "__row"), n, threshold, recall)
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     empty = F.col("size") == 0
 
@@ -212,20 +221,25 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
 
 
 def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """``(id, key, size, rep, component, component_key, n_links)`` of every row; the last four are null without shingles.
+    """``(id, key, row, size, rep, component, component_key, n_links)`` of every row of numbered ``docs``; the last four are null without shingles.
 
     ``rep``: the smallest id of the row's class; ``component, component_key``: the smallest id, and its text's key, of all classes reachable.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = materialise(signatures(docs, n, bands, rows), "signatures")
-    classes = signed.where("size > 0").groupBy("high", "low").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    first = F.min(F.struct("id", "key", "row"))
+    classes = signed.where("size > 0").groupBy("high", "low").agg(first.alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     # Numbered once: the numbers are read back from here on.
-    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", F.col("first.id").alias("rep"), F.col("first.key").alias("key"), "copies", "bands"), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    ties = banded.join(shared, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = materialise(connected_components(ties).join(classes.select("node", "rep", "key", "copies", "high", "low"), "node"), "groups")
-    verified = materialise(_verify(docs, groups, n, threshold), "verified")
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", F.col("first.id").alias("rep"), F.col("first.key").alias("key"), F.col("first.row").alias("row"), "copies", "size", "bands"), "classes")
+    banded = classes.select("node", "size", F.explode("bands").alias("band"))
+    buckets = materialise(
+        banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.sum("size").alias("shingles")).where("n > 1"), "buckets"
+    )
+    ties = banded.join(buckets.select("band", "least"), "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = materialise(connected_components(ties), "groups")
+    units = _units(classes, banded, buckets, groups)
+    dealt = materialise(units.join(classes.select("node", F.col("row").alias("__row"), "copies"), "node"), "dealt")
+    verified = materialise(_verify(docs, dealt, n, threshold), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(verified.where("other is not null"), "id", "other")
     least = components.join(classes.select("node", "rep", "key"), "node").groupBy("component").agg(F.min(F.struct("rep", "key")).alias("least"))
@@ -239,45 +253,67 @@ def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFr
         ),
         "by-class",
     )
-    return signed.select("id", "key", "size", "high", "low").join(by_class, ["high", "low"], "left")
+    return signed.select("id", "key", "row", "size", "high", "low").join(by_class, ["high", "low"], "left")
+
+
+def _blocks(n: Column, shingle_count: Column) -> Column:
+    """Blocks of a unit: of BLOCK members where there are many, of a quarter where they would be few, and of few shingles."""
+    size = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(BLOCK / 4), n / 16))
+    return F.greatest(F.ceil(n / size), F.least(n, F.ceil(shingle_count / BLOCK_SHINGLES))).cast("int")
+
 
+def _units(classes: DataFrame, banded: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(node, units)``: the units (``unit, blocks``, ascending) that each candidate is dealt to.
 
-def _verify(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
+    A group is one unit, or its distinct buckets are, whichever copies fewer sets.
+    """
+    whole = groups.join(classes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    whole = materialise(whole.withColumn("blocks", _blocks(F.col("n"), F.col("shingles"))), "whole-units")
+    # Groups of one block are cheapest as they are.
+    large = whole.where("blocks > 1").select("component", (F.col("n") * F.col("blocks")).alias("whole_cost"))
+    apart = buckets.groupBy("least", "n", "members", "shingles").agg(F.min("band").alias("unit")).withColumn("blocks", _blocks(F.col("n"), F.col("shingles")))
+    apart = apart.join(groups.select(F.col("node").alias("least"), "component"), "least").join(large, "component")
+    cheaper = apart.groupBy("component", "whole_cost").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost")).where("cost < whole_cost").select("component")
+    cheaper = materialise(cheaper, "bucket-groups")
+    in_whole = groups.join(whole.join(cheaper, "component", "left_anti"), "component").select("node", F.col("component").alias("unit"), "blocks")
+    if cheaper.limit(1).count():
+        chosen = materialise(apart.join(cheaper, "component", "left_semi").select("unit", "blocks"), "bucket-units")
+        in_whole = in_whole.unionByName(banded.select("node", F.col("band").alias("unit")).join(chosen, "unit").select("node", "unit", "blocks"))
+    return in_whole.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("unit", "blocks"))).alias("units"))  # a unit for each band at most
+
+
+def _verify(docs: DataFrame, dealt: DataFrame, n: int, threshold: float) -> DataFrame:
     """``(id, links, other)``: link counts (other null) and forest edges (links 0)."""
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = materialise(groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
-    given = docs.select(_id().alias("rep"), F.xxhash64("text").alias("key"), "text").join(small_side(members), ["rep", "key"])
+    given = docs.select("__row", "text").join(small_side(dealt), "__row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                own = [shingles(t, n) for t in some.column(7).to_pylist()]
-                # Should another text of a representative's id have its key too, it is not the representative.
-                same = [struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes())) == (a, b) for s, a, b in zip(own, some.column(5).to_pylist(), some.column(6).to_pylist(), strict=True)]
+                own = [shingles(t, n) for t in some.column(3).to_pylist()]
                 ends = np.cumsum([0] + [len(s) for s in own])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(5)), lists], names=["id", "component", "copies", "block", "blocks", "hashes"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(3)), lists], names=["id", "copies", "units", "hashes"])
         _WORDS.clear()
         release()
 
-    sized = given.select("node", "component", "copies", "block", "blocks", "high", "low", "text").mapInArrow(
-        sets, "id bigint, component bigint, copies bigint, block int, blocks int, hashes array<bigint>"
+    sized = given.select(F.col("node").alias("id"), "copies", "units", "text").mapInArrow(
+        sets, "id bigint, copies bigint, units array<struct<unit: bigint, blocks: int>>, hashes array<bigint>"
     )
-    dealt = (
-        sized.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lower", F.least("block", "with"))
-        .withColumn("upper", F.greatest("block", "with"))
-        .select("component", "lower", "upper", "id", "copies", "block", "hashes")
+    in_units = sized.select("id", "copies", "hashes", F.col("units.unit").alias("units"), F.explode("units").alias("u")).select("id", "copies", "hashes", "units", "u.unit", "u.blocks")
+    pairs = (
+        in_units.withColumn("block", F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("unit", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"), "id", "copies", "units", "block", "hashes")
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, first = np.unique(group["id"].to_numpy(), return_index=True)
-        lists = group["hashes"].combine_chunks().take(pa.array(first))
+        ids, lists = group["id"].to_numpy(), group["hashes"].combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         own = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        pair = (group["lower"][0].as_py(), group["upper"][0].as_py())
-        counts, forest = verify_blocks(ids, group["copies"].to_numpy()[first], group["block"].to_numpy()[first], own, pair, threshold)
+        unit, pair = group["unit"][0].as_py(), (group["lower"][0].as_py(), group["upper"][0].as_py())
+        before = [{u for u in units if u < unit} for units in group["units"].to_pylist()]
+        counts, forest = verify_blocks(ids, group["copies"].to_numpy(), group["block"].to_numpy(), own, pair, threshold, before)
         return pa.table(
             {
                 "id": pa.array([*counts, *(a for a, _ in forest)], pa.int64()),
@@ -286,16 +322,22 @@ def _verify(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> Dat
             }
         )
 
-    return dealt.groupBy("component", "lower", "upper").applyInArrow(compare, "id bigint, links bigint, other bigint")
+    return pairs.groupBy("unit", "lower", "upper").applyInArrow(compare, "id bigint, links bigint, other bigint")
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each near-duplicate class, columns unchanged."""
-    grouped = _grouped(docs, n, threshold, recall)
-    found = grouped.where("size = 0 or (id = component and key = component_key)").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
-    kept = docs.withColumn("__id", _id()).withColumn("__key", F.xxhash64("text"))
-    # Rows that repeat an id and its text are one document. The join and the distinct share one shuffle.
-    return kept.join(materialise(found, "kept"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    """The rows of ``docs`` that stay, one document of each near-duplicate class, columns unchanged.
+
+    What goes is found by row numbers, so whole texts are shuffled only where the
+    numbers of the rows that go are too many to broadcast.
+    """
+    rows = numbered(docs, "__row")
+    grouped = _grouped(rows.select("doc_id", "text", "__row"), n, threshold, recall)
+    stays = (F.col("size") == 0) | ((F.col("id") == F.col("component")) & (F.col("key") == F.col("component_key")))
+    # Rows that repeat an id and its text are one document.
+    kept = grouped.where(stays).groupBy("id", "key").agg(F.min("row").alias("row")).select("row")
+    gone = materialise(grouped.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", "__row"), "gone")
+    return rows.join(small_side(gone), "__row", "left_anti").drop("__row")
 
 
 ORACLE = r"""
