@@ -59,6 +59,19 @@ def test_bpe_all_letters_split_as_the_library(both):
             assert codec.encode(t).tolist() == own.encode(t, add_special_tokens=False).ids, hex(ord(c))
 
 
+def test_bpe_specials_of_any_look(both):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.loads(open(tokenizer_path()).read())
+    taken = {t["id"] for t in file.get("added_tokens", [])} | set(file["model"]["vocab"].values())
+    file["added_tokens"].append({"id": max(taken) + 1, "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    own, codec = Tokenizer.from_str(json.dumps(file)), bpe.Codec(json.dumps(file))
+    for t in ("a [SEP] b", "[SEP]", "[SEP", "x<|endoftext|>[SEP]y"):
+        assert codec.encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_documents(spark, both):
     _, own = both
     rows = odd_rows()
@@ -265,6 +278,44 @@ def test_training_time_inverts_the_integral(spark):
             assert abs(done - r.q) < 1e-9
 
 
+def test_positions_follow_the_schedule(spark):
+    rng = random.Random(12)
+    rows = [(k, " w" * rng.randrange(0, 50), "en", rng.choice("abc"), 1) for k in range(600)]
+    sizes = mixing.sized(docs(spark, rows))
+    found = {}
+    for name, schedules in (("given", mixing.SCHEDULES), ("late", (((0.0, 0.0), (1.0, 1.0)),) * 3)):
+        got = mixing.with_positions(mixing.mix(sizes, schedules=schedules)).collect()
+        first = [r.position_1 for r in got if r.position_1 is not None]
+        assert first == sorted(first) and all((r.position_1 is None) == (r.taken == 0) for r in got)
+        assert all(r.position_2 is None or r.position_2 > r.position_1 for r in got)
+        found[name] = {r.doc_id: (r.position_1, r.taken) for r in got}
+    assert {k: v[1] for k, v in found["given"].items()} == {k: v[1] for k, v in found["late"].items()}  # a schedule moves words, and takes as many
+    moved = [k for k in found["given"] if found["given"][k][0] is not None and abs(found["given"][k][0] - found["late"][k][0]) > 1e-3]
+    assert len(moved) > 500
+
+
+def test_training_set(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(k if k % 9 else None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(0, 60))), "en", rng.choice(["a", "b", None]), k) for k in range(500)]
+    rows += [(None, "same text here", "en", "a", 7)] * 150 + [(None, None, None, None, None)]
+    table = docs(spark, rows).withColumns({"train_copy": F.lit("x"), "size": F.lit(-1), "tie": F.lit(0), "__text": F.lit(1)})
+    table.write.parquet(f"{tmp_path}/t")
+    mixed = mixing.mix(mixing.sized(docs(spark, rows))).collect()
+    want = Counter()
+    for r in mixed:
+        want.update([(r.doc_id, r.text, r.n_chars)] * sum(2 * c.words >= r.size for c in r.copies))
+    for given in (table, spark.read.parquet(f"{tmp_path}/t")):
+        out = mixing.training_set(given, range_words=2_000)
+        assert out.columns == [c for c in table.columns if c != "train_copy"] + ["train_position", "train_copy"]
+        assert out.rdd.getNumPartitions() > 4
+        got = out.collect()
+        assert [r.train_position for r in got] == sorted(r.train_position for r in got)
+        assert {r["size"] for r in got} == {-1}
+        same = Counter((r.doc_id, r.text, r.n_chars) for r in got)
+        assert sum(((same - want) + (want - same)).values()) == 0
+    assert mixing.training_set(docs(spark, [])).count() == 0
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(mixing.sized(docs(spark, []))).count() == 0
     blank = mixing.mix(mixing.sized(docs(spark, [(1, "", "en", "a", 0), (2, None, "en", None, 0)]))).collect()

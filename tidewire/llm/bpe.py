@@ -175,6 +175,7 @@ class Codec:
         self.special = specials
         longest_first = sorted(map(regex.escape, specials), key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(longest_first) + ")") if specials else None
+        self.heads = tuple({t[0] for t in specials if t})
         strings = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in specials.items()}
         self.kind = np.uint16 if max(strings) < 65_536 else np.uint32
         names = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
@@ -197,7 +198,7 @@ class Codec:
     def pack(self, text: str) -> bytes:
         """Packed ids of a text, word by word."""
         out = []
-        for k, part in enumerate(self.specials.split(text) if self.specials and "<" in text else [text]):
+        for k, part in enumerate(self.specials.split(text) if any(c in text for c in self.heads) else [text]):
             if k % 2:
                 out.append(self.kind(self.special[part]).tobytes())
             elif not part:

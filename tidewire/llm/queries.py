@@ -52,8 +52,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialise(mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "mix-sizes")
-    return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = materialise(mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "tie"), "mix-sizes")
+    placed = mixing.with_positions(mixing.mix(sizes))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", *(F.round(f"position_{k}", 9).alias(f"position_{k}") for k in (1, 2)))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
