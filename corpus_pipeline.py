@@ -10,9 +10,11 @@ operators' docstrings say:
 1. quality classifier: rows predicted 0 go.
 2. line dedup: ``text`` loses repeated lines, ``n_chars`` follows.
 3. n-gram join: one document of each near-duplicate class stays.
-4. mixing: one row per copy that the mix takes, in training order. The copy at
-   the border of a source's target stays, whole, if half of its words are taken.
-5. BPE: ``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``.
+4. mixing: one row per copy that the mix takes, range-sorted by training position
+   (``train_position, train_copy``). The copy at the border of a source's target
+   stays, whole, if half of its words are taken.
+5. BPE: ``doc_id, train_position, train_copy, n_tokens, ids_sha256,
+   decoded_sha256, ids``, so every result row says when it is trained on.
 """
 
 from __future__ import annotations
@@ -42,13 +44,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sizes = mixing.sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))).drop("text")
-    taken = mixing.training_order(mixing.mix(sizes)).where(2 * F.col("words") >= F.col("size"))
-    return taken.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+    return mixing.training_set(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, tokenizer_path())
+    order = [c for c in ("train_position", "train_copy") if c in docs.columns]
+    return bpe.encode_documents(docs, tokenizer_path(), keep=("doc_id", *order))
 
 
 STAGES = [
@@ -59,7 +60,7 @@ STAGES = [
     ("bpe", bpe_encoding),
 ]
 
-#: The classifier and the tokenizer have no SQL; tests hold each stage against a brute-force version.
+#: The classifier and the tokenizer have no SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
