@@ -231,13 +231,10 @@ def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     classes = signed.where("size > 0").groupBy("high", "low").agg(first.alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     # Numbered once: the numbers are read back from here on.
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", F.col("first.id").alias("rep"), F.col("first.key").alias("key"), F.col("first.row").alias("row"), "copies", "size", "bands"), "classes")
-    banded = classes.select("node", "size", F.explode("bands").alias("band"))
-    buckets = materialise(
-        banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.sum("size").alias("shingles")).where("n > 1"), "buckets"
-    )
-    ties = banded.join(buckets.select("band", "least"), "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = materialise(connected_components(ties), "groups")
-    units = _units(classes, banded, buckets, groups)
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    ties = banded.join(shared, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    units = _units(classes, materialise(connected_components(ties), "groups"))
     dealt = materialise(units.join(classes.select("node", F.col("row").alias("__row"), "copies"), "node"), "dealt")
     verified = materialise(_verify(docs, dealt, n, threshold), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
@@ -256,30 +253,33 @@ def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     return signed.select("id", "key", "row", "size", "high", "low").join(by_class, ["high", "low"], "left")
 
 
-def _blocks(n: Column, shingle_count: Column) -> Column:
-    """Blocks of a unit: of BLOCK members where there are many, of a quarter where they would be few, and of few shingles."""
-    size = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(BLOCK / 4), n / 16))
-    return F.greatest(F.ceil(n / size), F.least(n, F.ceil(shingle_count / BLOCK_SHINGLES))).cast("int")
+def _blocks(n: Column, widest: Column) -> Column:
+    """Blocks of a unit of ``n`` members with up to ``widest`` shingles: of BLOCK members where there are many, of a quarter where they would be few."""
+    size = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(BLOCK / 4), n / 32))
+    return F.greatest(F.ceil(n / size), F.least(n, F.ceil(n * widest / BLOCK_SHINGLES))).cast("int")
 
 
-def _units(classes: DataFrame, banded: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
+def _units(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """``(node, units)``: the units (``unit, blocks``, ascending) that each candidate is dealt to.
 
     A group is one unit, or its distinct buckets are, whichever copies fewer sets.
     """
-    whole = groups.join(classes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    whole = materialise(whole.withColumn("blocks", _blocks(F.col("n"), F.col("shingles"))), "whole-units")
+    whole = groups.join(classes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.max("size").alias("widest"))
+    whole = materialise(whole.withColumn("blocks", _blocks(F.col("n"), F.col("widest"))), "whole-units")
     # Groups of one block are cheapest as they are.
-    large = whole.where("blocks > 1").select("component", (F.col("n") * F.col("blocks")).alias("whole_cost"))
-    apart = buckets.groupBy("least", "n", "members", "shingles").agg(F.min("band").alias("unit")).withColumn("blocks", _blocks(F.col("n"), F.col("shingles")))
-    apart = apart.join(groups.select(F.col("node").alias("least"), "component"), "least").join(large, "component")
+    large = whole.where("blocks > 1").select("component", "widest", (F.col("n") * F.col("blocks")).alias("whole_cost"))
+    banded = groups.join(large, "component").join(classes.select("node", "bands"), "node").select("node", "component", "widest", "whole_cost", F.explode("bands").alias("band"))
+    members = F.bit_xor(F.xxhash64("node")).alias("members")
+    buckets = banded.groupBy("component", "widest", "whole_cost", "band").agg(F.count("*").alias("n"), members, F.min("node").alias("least")).where("n > 1")
+    apart = buckets.groupBy("component", "widest", "whole_cost", "n", "members", "least").agg(F.min("band").alias("unit")).withColumn("blocks", _blocks(F.col("n"), F.col("widest")))
+    apart = materialise(apart, "distinct-buckets")
     cheaper = apart.groupBy("component", "whole_cost").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost")).where("cost < whole_cost").select("component")
     cheaper = materialise(cheaper, "bucket-groups")
-    in_whole = groups.join(whole.join(cheaper, "component", "left_anti"), "component").select("node", F.col("component").alias("unit"), "blocks")
+    dealt = groups.join(whole.join(cheaper, "component", "left_anti"), "component").select("node", F.col("component").alias("unit"), "blocks")
     if cheaper.limit(1).count():
-        chosen = materialise(apart.join(cheaper, "component", "left_semi").select("unit", "blocks"), "bucket-units")
-        in_whole = in_whole.unionByName(banded.select("node", F.col("band").alias("unit")).join(chosen, "unit").select("node", "unit", "blocks"))
-    return in_whole.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("unit", "blocks"))).alias("units"))  # a unit for each band at most
+        chosen = apart.join(cheaper, "component", "left_semi").select(F.col("unit").alias("band"), "blocks")
+        dealt = dealt.unionByName(banded.join(chosen, "band").select("node", F.col("band").alias("unit"), "blocks"))
+    return dealt.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("unit", "blocks"))).alias("units"))  # a unit for each band at most
 
 
 def _verify(docs: DataFrame, dealt: DataFrame, n: int, threshold: float) -> DataFrame:
