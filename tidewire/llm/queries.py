@@ -48,7 +48,9 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"])), ";")
+    return found.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), "text")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +84,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_near_dedup": vectors.ORACLE,
         "op6_line_dedup": lines.ORACLE,
         "op7_url_filters": urls.ORACLE,
+        "op8_substring_dedup": spans.ORACLE,
         "op9_mixing": mixing.ORACLE,
     }

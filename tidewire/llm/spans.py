@@ -1,23 +1,27 @@
 """Substring dedup by sliding sentence spans (operator 8).
 
-A text is cut into sentences (after ``.!?`` before a blank, and at line ends).
-A span is a run of consecutive sentences, the shortest from its first sentence
-on that holds ``min_words`` words, or the shortest up to its last sentence that
-does: every sentence of a passage with ``min_words`` words or more lies in a
-span inside the passage, whatever stands around it. (A fixed number of sentences
-would miss passages of one long sentence and catch runs of one-word sentences.)
-
-Spans are hashed to 128 bits; a document sends each of its spans once. Counting
-and the smallest ``doc_id`` per span combine on the map side; spans found in two
-documents or more meet their occurrences again in a join that adaptive execution
-can split, so a passage in a third of all documents is no hot task. A sentence
-goes if any span that covers it is not the span's first occurrence (smallest
-``doc_id``, then earliest in the text).
-
-Null and empty texts have no sentences and come back as empty texts. Rows that
-share a ``doc_id`` count as one document and lose nothing to each other. A null
-``doc_id`` sorts below all others. Columns ``text, n_sentences, n_removed,
-removed`` of the input are replaced. An empty table gives no rows.
+A text is cut into sentences: each ends after ``.!?`` and the blanks that follow,
+or after a line end and the blanks that follow; blanks are ``[\\x20\\x09-\\x0D]``.
+A span is a run of consecutive sentences with at least ``MIN_SENTENCES`` sentences
+and ``MIN_WORDS`` words: from each sentence on the shortest such run, and up to
+each sentence the shortest such run. So every sentence of a repeated passage of
+that size lies in a span inside the passage, whatever stands around it. (Without
+the floor of words, runs of one-word sentences and short license lines count: see
+the README for figures.)
+
+Each document's spans are hashed to 128 bits and written once. Counting and the
+first document per span combine on the map side; spans found in two documents or
+more meet their occurrences again in a join that adaptive execution can split, so
+a passage in a third of all documents is no hot task. A sentence goes if any span
+that covers it is not the span's first occurrence (smallest ``doc_id``, then
+smallest text hash, then earliest in the text).
+
+A document is a ``doc_id`` with a text: rows that share an id, or have none, are
+documents of their own if their texts differ; rows that repeat both are one
+document, are treated alike and lose nothing to each other. Null, empty and blank
+texts have no sentences; null comes back as the empty text. A null ``doc_id``
+sorts below all others. Columns ``n_sentences, n_removed, removed`` of the input
+are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,101 +37,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._store import materialise, ship
+from tidewire.llm._store import materialise, release, ship
+from tidewire.llm.words import BLANKS
 
-MIN_WORDS = 25
+MIN_SENTENCES, MIN_WORDS = 2, 25
 NO_ID = -(1 << 63)
-#: A sentence with what parts it from the next one.
-SENTENCE = re.compile(r"\S(?:.*?[.!?]+(?=\s)|[^\n]*)")
+_B = r"[\x20\x09-\x0D]"
+#: A sentence with the blanks before a text's first and after every one: the sentences of a text make up all of it.
+SENTENCE = re.compile(rf"{_B}*+[^\x20\x09-\x0D](?:[^.!?\n]++|[.!?](?!{_B}))*+(?:[.!?]{_B}++|\n{_B}*+)?")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every sentence."""
-    return [m.span() for m in SENTENCE.finditer(text)]
+def sentences(text: str) -> list[str]:
+    return SENTENCE.findall(text)
 
 
-def spans(text: str, cuts: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, bytes]]:
+def runs(sizes: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(first sentence, last + 1) of every span of sentences with these numbers of words."""
+    n = len(sizes)
+    total = np.cumsum([0, *sizes])
+    at = np.arange(n)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + min_words, "left"), at + min_sentences)
+    starts = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, at + 1 - min_sentences)
+    return sorted({(i, e) for i, e in enumerate(ends.tolist()) if e <= n} | {(s, k + 1) for k, s in enumerate(starts.tolist()) if s >= 0})
+
+
+def spans(found: list[str], min_sentences: int, min_words: int) -> list[tuple[int, int, bytes]]:
     """(first sentence, last + 1, 128-bit hash) of every span, by first sentence."""
-    words = [text[a:b].split() for a, b in cuts]
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    total = np.cumsum([0] + [len(w) for w in words])
-    n = len(cuts)
-    ends = np.searchsorted(total, total[:-1] + min_words, "left")
-    starts = np.searchsorted(total, total[1:] - min_words, "right") - 1
-    found = {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(s), k + 1) for k, s in enumerate(starts) if s >= 0}
-    data = hashes.tobytes()
-    return [(a, b, xxhash.xxh3_128_digest(data[8 * a : 8 * b])) for a, b in sorted(found)]
-
-
-def removed_sentences(text: str, cuts: list[tuple[int, int]], min_words: int, drop: set[bytes]) -> list[bool]:
+    if len(found) < min_sentences:
+        return []
+    words = [s.encode("utf-8", "surrogatepass").split() for s in found]  # bytes.split() cuts at BLANKS
+    data = b"".join(xxhash.xxh3_64_digest(b" ".join(w)) for w in words)
+    return [(a, b, xxhash.xxh3_128_digest(data[8 * a : 8 * b])) for a, b in runs([len(w) for w in words], min_sentences, min_words)]
+
+
+def removed_sentences(found: list[str], min_sentences: int, min_words: int, drop: set[bytes]) -> list[bool]:
     """Which sentences a span covers that is in ``drop`` or came earlier in this text."""
-    gone = [False] * len(cuts)
+    gone = [False] * len(found)
     seen: set[bytes] = set()
-    for a, b, h in spans(text, cuts, min_words):
+    for a, b, h in spans(found, min_sentences, min_words):
         if h in drop or h in seen:
             gone[a:b] = [True] * (b - a)
         seen.add(h)
     return gone
 
 
-def rebuilt(text: str, cuts: list[tuple[int, int]], gone: list[bool]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its removed sentences (and what parted them from the next), and the removed (start, end)."""
+def rebuilt(text: str, found: list[str], gone: list[bool]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its removed sentences, and the removed (start, end). Blanks before a removed end go, too."""
     if not any(gone):
         return text, []
-    nexts = [a for a, _ in cuts[1:]] + [len(text)]
-    cut = [(a, to) for (a, _), to, g in zip(cuts, nexts, gone, strict=True) if g]
-    joined: list[tuple[int, int]] = []
-    for a, b in cut:
-        if joined and joined[-1][1] == a:
-            joined[-1] = (joined[-1][0], b)
-        else:
-            joined.append((a, b))
-    out, at = [], 0
-    for a, b in joined:
-        out.append(text[at:a])
-        at = b
-    out.append(text[at:])
-    kept = "".join(out)
-    return (kept.rstrip() if joined[-1][1] == len(text) else kept), joined
-
-
-def span_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(high, low, id)``, each span of a row once."""
+    kept = "".join(s for s, g in zip(found, gone, strict=True) if not g)
+    cut: list[tuple[int, int]] = []
+    at = 0
+    for s, g in zip(found, gone, strict=True):
+        if g:
+            if cut and cut[-1][1] == at:
+                cut[-1] = (cut[-1][0], at + len(s))
+            else:
+                cut.append((at, at + len(s)))
+        at += len(s)
+    return (kept.rstrip(BLANKS) if gone[-1] else kept), cut
+
+
+def _document() -> list:
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("__id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__key")]
+
+
+def span_table(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """``(high, low, id, key)``, each span of a row once; a row without hash for a text that repeats a span of its own."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                data, ids = [], []
-                for i, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                data, take, again = [], [], []
+                for k, text in enumerate(some.column(2).to_pylist()):
                     if text:
-                        own = {h for _, _, h in spans(text, sentences(text), min_words)}
+                        all_ = [h for _, _, h in spans(sentences(text), min_sentences, min_words)]
+                        own = set(all_)
                         data += own
-                        ids += [i] * len(own)
+                        take += [k] * len(own)
+                        if len(own) < len(all_):
+                            again.append(k)
                 pairs = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(ids, pa.int64())], names=["high", "low", "id"])
+                none = pa.nulls(len(again), pa.int64())
+                rows = pa.array(take + again, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(pairs[:, k].copy()), none]) for k in (0, 1)] + [some.column(k).take(rows) for k in (0, 1)], names=["high", "low", "id", "key"]
+                )
+        release()
 
-    return docs.select(_id(), "text").mapInArrow(run, "high bigint, low bigint, id bigint")
+    return docs.select(*_document(), "text").mapInArrow(run, "high bigint, low bigint, id bigint, key bigint")
 
 
-def _id():
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("__id")
-
-
-def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs``, ``text`` without repeated spans, and ``n_sentences, n_removed, removed``.
 
     ``removed``: array of ``(start, end)`` code point offsets into the given text.
     """
     ship(docs.sparkSession)
-    occurrences = span_table(docs, min_words)
-    shared = occurrences.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last")).drop("last")
-    hits = materialise(occurrences.join(shared, ["high", "low"]).where(F.col("id") != F.col("first")).select("id", "high", "low").distinct(), "span-hits")
+    found = materialise(span_table(docs, min_sentences, min_words), "spans")
+    document = F.struct("id", "key")
+    shared = found.where("high IS NOT NULL").groupBy("high", "low").agg(F.min(document).alias("first"), F.max(document).alias("last")).where("first != last").select("high", "low", "first")
+    hits = found.join(shared, ["high", "low"]).where(document != F.col("first")).select("id", "key", "high", "low")
+    hits = hits.unionByName(found.where("high IS NULL"))
     # A document's own spans bound its list.
-    drops = hits.groupBy("id").agg(F.collect_list(F.struct("high", "low")).alias("__drop")).withColumnRenamed("id", "__id")
+    drops = hits.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("high", "low")).alias("__drop"))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
-    marked = docs.select(*kept, _id()).join(drops, "__id", "left").select(*kept, "__drop")
+    marked = docs.select(*kept, *_document()).join(drops, ["__id", "__key"], "left").select(*kept, "__drop")
     pair = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType(docs.select(*kept).schema.fields).add("n_sentences", T.LongType()).add("n_removed", T.LongType()).add("removed", T.ArrayType(pair))
     arrow_pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -141,41 +158,95 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for text, drop in zip(out[kept.index("text")].to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
                     text = text or ""
                     cuts = sentences(text)
-                    gone = removed_sentences(text, cuts, min_words, {struct.pack("<qq", d["high"], d["low"]) for d in drop or ()}) if cuts else []
-                    new, ranges = rebuilt(text, cuts, gone)
+                    new, ranges, gone = text, [], []
+                    if drop:  # else no span is another's, or comes twice
+                        gone = removed_sentences(cuts, min_sentences, min_words, {struct.pack("<qq", d["high"], d["low"]) for d in drop if d["high"] is not None})
+                        new, ranges = rebuilt(text, cuts, gone)
                     texts.append(new)
                     total.append(len(cuts))
                     removed.append(sum(gone))
                     cuts_out.append([{"start": a, "end": b} for a, b in ranges])
                 out[kept.index("text")] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*out, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(cuts_out, arrow_pair)], names=schema.names)
+        release()
 
     return marked.mapInArrow(run, schema)
 
 
-def brute_force(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> dict[int, str]:
-    """Texts after dedup, for small tests with distinct ids: spans compared as strings."""
-    def runs(text: str):
-        cuts = sentences(text)
-        n = len(cuts)
-        count = [len(text[a:b].split()) for a, b in cuts]
-        for a in range(n):
-            for b in range(a + 1, n + 1):
-                size = sum(count[a:b])
-                if size >= min_words and (sum(count[a : b - 1]) < min_words or sum(count[a + 1 : b]) < min_words):
-                    yield a, b, tuple(" ".join(text[x:y].split()) for x, y in cuts[a:b])
-
-    first: dict[tuple, tuple[int, int]] = {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        for a, _, key in runs(text or ""):
-            first.setdefault(key, (i, a))
-    out = {}
-    for i, text in rows:
+def brute_force(rows: list[tuple[int | None, str | None]], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int | None, str]]:
+    """(doc_id, text after dedup) of every row, for small tests: spans compared as strings. Texts of one id sort by their hash."""
+
+    def split(text: str | None) -> list[str]:
+        out, at = [], 0
         text = text or ""
-        cuts = sentences(text)
+        for k in range(len(text) + 1):
+            ends = k == len(text) or text[k] not in BLANKS and k and text[k - 1] in BLANKS and (text[:k].rstrip(BLANKS)[-1:] in (".", "!", "?") or "\n" in text[len(text[:k].rstrip(BLANKS)) : k])
+            if ends and text[at:k].strip(BLANKS) and not (k < len(text) and len(text[at:k].strip(BLANKS)) == 1 and "\n" not in text[len(text[:k].rstrip(BLANKS)) : k]):
+                out.append(text[at:k])
+                at = k
+        return out
+
+    def every(cuts: list[str]):
+        count = [len(re.findall(r"[^\x20\x09-\x0D]+", s)) for s in cuts]
+        fits = lambda a, b: b - a >= min_sentences and sum(count[a:b]) >= min_words
+        for a in range(len(cuts)):
+            for b in range(a + 1, len(cuts) + 1):
+                if fits(a, b) and (not fits(a, b - 1) or not fits(a + 1, b)):
+                    yield a, b, tuple(" ".join(re.findall(r"[^\x20\x09-\x0D]+", s)) for s in cuts[a:b])
+
+    first: dict[tuple, tuple] = {}
+    ordered = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, _spark_hash(r[1])))
+    for i, text in ordered:
+        for a, _, key in every(split(text)):
+            first.setdefault(key, (i, text, a))
+    out = []
+    for i, text in rows:
+        cuts = split(text)
         gone = [False] * len(cuts)
-        for a, b, key in runs(text):
-            if first[key] != (i, a):
+        for a, b, key in every(cuts):
+            if first[key] != (i, text, a):
                 gone[a:b] = [True] * (b - a)
-        out[i] = rebuilt(text, cuts, gone)[0]
+        kept = "".join(s for s, g in zip(cuts, gone, strict=True) if not g)
+        out.append((i, (text or "") if not any(gone) else kept.rstrip(BLANKS) if gone[-1] else kept))
     return out
+
+
+def _spark_hash(text: str | None) -> int:
+    """Spark's xxhash64 of a string, 0 for null."""
+    h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42) if text is not None else 0
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+_WORDLIST = r"list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+ORACLE = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D].*?(?:[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)') AS cuts FROM documents
+), sentence AS (
+  SELECT doc_id, i, s, {_WORDLIST} AS w FROM (SELECT doc_id, unnest(cuts) AS s, generate_subscripts(cuts, 1) AS i FROM split)
+), counted AS (
+  SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS before,
+         sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM sentence
+), bounds AS (
+  SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.i >= a.i + {MIN_SENTENCES - 1} AND b.upto - a.before >= {MIN_WORDS} GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS a, b.i AS b FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.i >= a.i + {MIN_SENTENCES - 1} AND b.upto - a.before >= {MIN_WORDS} GROUP BY b.doc_id, b.i
+), lists AS (
+  SELECT doc_id, list(array_to_string(w, ' ') ORDER BY i) AS all_ FROM counted GROUP BY doc_id
+), spans AS (
+  SELECT b.doc_id, a, b, all_[a:b] AS span FROM bounds b JOIN lists l ON l.doc_id = b.doc_id
+), ranked AS (
+  SELECT doc_id, a, b, row_number() OVER (PARTITION BY span ORDER BY doc_id, a) AS nth FROM spans
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE nth > 1
+), marked AS (
+  SELECT c.doc_id, c.i, c.s, c.ends - length(c.s) AS starts, c.ends, g.i IS NOT NULL AS gone, c.i - count(g.i) OVER (PARTITION BY c.doc_id ORDER BY c.i) AS island
+  FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.i = c.i
+), ranges AS (
+  SELECT doc_id, string_agg(starts || '-' || ends, ';' ORDER BY starts) AS removed FROM (SELECT doc_id, min(starts) AS starts, max(ends) AS ends FROM marked WHERE gone GROUP BY doc_id, island) GROUP BY doc_id
+), rebuilt AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(s, '' ORDER BY i) FILTER (NOT gone), '') AS kept, arg_max(gone, i) AS end_gone FROM marked GROUP BY doc_id
+)
+SELECT p.doc_id, coalesce(r.n_sentences, 0) AS n_sentences, coalesce(r.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed,
+       CASE WHEN coalesce(r.n_removed, 0) = 0 THEN p.text WHEN r.end_gone THEN regexp_replace(r.kept, '[\x20\x09-\x0D]+\z', '') ELSE r.kept END AS text
+FROM split p LEFT JOIN rebuilt r ON r.doc_id = p.doc_id LEFT JOIN ranges g ON g.doc_id = p.doc_id
+"""
