@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._store import materialise, release, ship
+from tidewire.llm._store import materialise, release, ship, small_side
 from tidewire.llm.words import BLANKS
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
@@ -137,10 +137,17 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     """
     ship(docs.sparkSession)
     found = materialise(span_table(docs, min_sentences, min_words), "spans")
-    document = F.struct("id", "key")
-    shared = found.where("high IS NOT NULL").groupBy("high", "low").agg(F.min(document).alias("first"), F.max(document).alias("last")).where("first != last").select("high", "low", "first")
-    hits = found.join(shared, ["high", "low"]).where(document != F.col("first")).select("id", "key", "high", "low")
-    hits = hits.unionByName(found.where("high IS NULL"))
+    hashes = ["high", "low"]
+    least = found.where("high IS NOT NULL").groupBy(*hashes).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("key").alias("least"), F.max("key").alias("most"))
+    met = found.join(least.where("first != last OR least != most").select(*hashes, "first"), hashes)
+    hits = met.where(F.col("id") != F.col("first")).select("id", "key", *hashes)
+    # Ids that stand for several texts (null, as a rule): the smallest key is the first of a span's documents.
+    several = materialise(found.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select(F.col("id").alias("first")), "several")
+    if several.limit(1).count():
+        ties = materialise(met.where(F.col("id") == F.col("first")).join(small_side(several), "first", "left_semi").select("id", "key", *hashes), "span-ties")
+        first_key = ties.groupBy(*hashes).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).where("first_key != last_key").drop("last_key")
+        hits = hits.unionByName(ties.join(first_key, hashes).where(F.col("key") != F.col("first_key")).select("id", "key", *hashes))
+    hits = hits.unionByName(found.where("high IS NULL").select("id", "key", *hashes))
     # A document's own spans bound its list.
     drops = hits.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("high", "low")).alias("__drop"))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
