@@ -148,7 +148,7 @@ def test_outliers(spark):
     got = {r.doc_id: r for r in outliers.reject_outliers(docs(spark, rows).withColumns({"distance": F.lit(1), "n": F.lit(2)})).collect()}
     assert all(got[k].kept for k in range(400))
     assert not any(got[1000 + k].kept for k in range(40))
-    assert got[2000].kept and got[2000].distance is None and got[2001].base_failed and not got[2001].kept
+    assert got[2000].kept and got[2000].distance > 0 and got[2001].base_failed and got[2001].distance is None and not got[2001].kept
     assert outliers.reject_outliers(docs(spark, [])).count() == 0
 
 
@@ -162,6 +162,21 @@ def test_outliers_of_rare_languages(spark):
     assert {k for k, r in got.items() if not r.kept} == {201, 202}
 
 
+def test_least_determinant_of_several_starts(spark, monkeypatch):
+    """Two clusters: the start within the tight one ends at the lesser determinant, and is the one that judges."""
+    rng = np.random.default_rng(3)
+    seen, plain = [], outliers.materialise
+    monkeypatch.setattr(outliers, "materialise", lambda df, tag: plain(seen.append((tag, plain(df, tag))) or seen[-1][1], tag) if tag.startswith("mcd-s") else plain(df, tag))
+    rows = [(k, "en", "s", int(w), int(w * 5 + rng.integers(0, w)), 0, int(rng.integers(0, 3)), 0, False) for k, w in enumerate(rng.integers(100, 3000, 600))]
+    counts = outliers.materialise(spark.createDataFrame(rows, "doc_id int, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"), "counts")
+    got = outliers.judge(counts).collect()
+    last = [df for tag, df in seen if tag == "mcd-step"][-1].collect()
+    assert {r.k for r in last} == {0, 1, 2} and all(np.isfinite(r.det) for r in last)
+    for g in {r.g for r in last}:
+        assert max(r.det for r in last if r.g == g) - min(r.det for r in last if r.g == g) < 1.0
+    assert sum(r.kept for r in got) > 590 and all(r.distance is not None for r in got)
+
+
 # Operator 6.
 
 

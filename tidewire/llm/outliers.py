@@ -1,19 +1,26 @@
 """Quality rules by robust multivariate outliers (operator 4, native).
 
-Five counts of a text become a statistic vector. For every language and source
-the minimum-covariance-determinant estimate of its centre and scatter is found
-by concentration steps: starting from medians and median deviations, the
-``H`` share of rows nearest to the centre gives the next centre and covariance.
-A row whose squared Mahalanobis distance exceeds ``CUT`` is rejected. Scatter is
-regularised by ``FLOORS`` (many sources have columns that are all zero) and made
-consistent for regular rows by ``CONSISTENCY``.
+Five counts of a text become a statistic vector. For every language and source,
+and for all rows together, the minimum-covariance-determinant estimate of centre
+and scatter is found by concentration steps from three starts: medians and median
+deviations, and the moments of two fixed quarters of the rows. A step takes the
+``H`` share of rows nearest to the centre; their mean and covariance are the next
+estimate. An estimate is settled when a step changes the logarithm of its
+determinant by less than ``SETTLED``; the others go on, for ``MAX_STEPS`` steps at
+most, and the start that ends at the least determinant is chosen. Scatter is regularised
+by ``FLOORS`` (many sources have columns that are all zero) and made consistent for
+regular rows by ``CONSISTENCY``.
+
+A group's centre and scatter are drawn towards those of all rows, as if ``SHRINK``
+rows of the whole were added to its n rows. So groups of any size are judged by
+one rule, large ones by themselves and single rows by the whole. (The distance
+between the centres adds nothing to the scatter, else an outlier that is half of
+a group would hide itself.) A row whose squared Mahalanobis distance exceeds
+``CUT`` is rejected.
 
 Order statistics come from counts of fixed bins, so no group is ever gathered or
-sorted: all aggregates combine on the map side, a source with a third of all
-rows costs a few rows per task, and reruns agree. Groups with under
-``MIN_ROWS`` rows are pooled by language. Rows of pools under it are judged by the
-estimate over all rows, however few there are (the floors regularise it), so
-every row that passes the base rule has a distance.
+sorted: a step is one aggregate by group, start and bin, which combines on the map
+side; a source with a third of all rows costs a few rows per task, and reruns agree.
 
 Rows that fail the base rule are no part of the estimates. Null text: no words,
 all counts 0, base_failed. Null lang or source: groups of their own. Repeated
@@ -26,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm._store import materialise, small_side
+from tidewire.llm._store import materialise
 from tidewire.llm.words import let, words
 
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -35,9 +42,15 @@ SYMBOLS = r"[^#*$%&|<>]+"
 H, CONSISTENCY = 0.75, 1.41
 #: Regular rows exceed this squared distance (chi2 with 5) once in a million.
 CUT = 35.888
-STEPS, MIN_ROWS = 3, 50
-#: The group of all rows. (Own groups hold one \x1f, pools end with \x1e.)
+MAX_STEPS, SETTLED = 8, 0.01
+#: Rows of the whole that a group's estimate is mixed with.
+SHRINK = 50.0
+#: Parts of the rows, two of which are starts. A part follows from the counts alone.
+PARTS = 4
+#: The group of all rows. (Other groups hold one \x1f.)
 EVERYTHING = "\x1d"
+#: Estimates (rows of about 200 bytes) that may be broadcast.
+BROADCAST_ESTIMATES = 50_000
 #: Scatter added to each dimension, as a standard deviation.
 FLOORS = (0.5, 0.08, 0.05, 0.5, 0.1)
 DIMENSIONS = range(len(FLOORS))
@@ -114,29 +127,32 @@ def _binned(rows: DataFrame, values: list[Column], share: float, name: str) -> D
     return by_d.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "q"))), lambda e: e["q"]).alias(name))  # five values a group
 
 
-def _cholesky(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], str]:
-    return {(i, j): f"l{i}{j}" for i in DIMENSIONS for j in range(i + 1)}
+M = [f"m{i}" for i in DIMENSIONS]
+L = [f"l{i}{j}" for i in DIMENSIONS for j in range(i + 1)]
+X = [f"x{i}" for i in DIMENSIONS]
+PAIRS = [(i, j) for i in DIMENSIONS for j in range(i + 1)]
 
 
-def _estimate(rows: DataFrame, distance: Column) -> DataFrame:
-    """One concentration step: ``g``, centre ``m0..`` and Cholesky factor ``l00..`` of the nearest rows' scatter."""
-    at = F.floor(F.log(distance + 1e-3) * DISTANCE_BINS).cast("bigint")
-    binned = rows.withColumn("bin", at)
-    counts = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    border = materialise(_quantile(counts, ["g"], H, 1, "border"), "mcd-border")
-    nearest = binned.join(small_side(border), "g").where("bin <= border")
-    sums = nearest.groupBy("g").agg(
-        F.count("*").alias("n"),
-        *(F.sum(f"x{i}").alias(f"s{i}") for i in DIMENSIONS),
-        *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in DIMENSIONS for j in range(i + 1)),
-    )
-    out = sums.select("g", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in DIMENSIONS), *(F.col(f"s{i}{j}") for i in DIMENSIONS for j in range(i + 1)))
-    for i in DIMENSIONS:
-        for j in range(i + 1):
-            scatter = CONSISTENCY * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-            left = (scatter + FLOORS[i] ** 2 if i == j else scatter) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[i] ** 2 / 4))) if i == j else left / F.col(f"l{j}{j}"))
-    return materialise(out.select("g", "n", *(f"m{i}" for i in DIMENSIONS), *(f"l{i}{j}" for i in DIMENSIONS for j in range(i + 1))), "mcd-estimate")
+def _factored(found: DataFrame, scatter: dict[tuple[int, int], Column], keep: list[str]) -> DataFrame:
+    """``keep`` columns, centre ``m0..``, Cholesky factor ``l00..`` of a scatter with its floors, and the logarithm of its determinant."""
+    out = found.select(*keep, *M, *(scatter[p].alias(f"c{p[0]}{p[1]}") for p in PAIRS))
+    for i, j in PAIRS:
+        left = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[i] ** 2 / 4))) if i == j else left / F.col(f"l{j}{j}"))
+    return out.select(*keep, *M, *L, sum((2 * F.log(f"l{i}{i}") for i in DIMENSIONS), F.lit(0.0)).alias("det"))
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS)]
+
+
+def _from_moments(sums: DataFrame, consistency: float) -> DataFrame:
+    """``g, k`` and the estimate from counts and sums."""
+    with_means = sums.select("*", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in DIMENSIONS))
+    scatter = {
+        (i, j): consistency * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in PAIRS
+    }
+    return _factored(with_means, scatter, ["g", "k"])
 
 
 def _mahalanobis() -> Column:
@@ -147,37 +163,84 @@ def _mahalanobis() -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
+def _twice(rows: DataFrame) -> DataFrame:
+    """Every row in its own group and in the group of all rows."""
+    return rows.unionByName(rows.withColumn("g", F.lit(EVERYTHING)))
+
+
+def _with(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+    """Rows in both groups with each start's estimate (``few``: their number is within the bound). The group of all rows has as many estimates as there are starts."""
+    own, whole = estimate.where(F.col("g") != EVERYTHING), estimate.where(F.col("g") == EVERYTHING)
+    both = rows.join(F.broadcast(own) if few else own, "g")
+    return both.unionByName(rows.withColumn("g", F.lit(EVERYTHING)).join(F.broadcast(whole), "g").select(*both.columns))
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """``g, k`` and estimates: 0 medians and median deviations, 1 and 2 the moments of a part of the rows."""
+    twice = _twice(rows)
+    columns = [F.col(x) for x in X]
+    medians = materialise(_binned(twice, columns, 0.5, "med"), "mcd-medians")
+    off = [F.abs(F.col(f"x{i}") - F.col("med")[i]) for i in DIMENSIONS]
+    spreads = _binned(_with(rows, medians, few), off, 0.5, "mad")
+    diagonal = medians.join(spreads, "g").select(
+        "g", F.lit(0).alias("k"), *(F.col("med")[i].alias(f"m{i}") for i in DIMENSIONS), *((1.4826 * F.col("mad")[i] + FLOORS[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS)
+    ).withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in DIMENSIONS), F.lit(0.0)))
+    parts = _from_moments(twice.where("part < 2").groupBy("g", (F.col("part") + 1).cast("int").alias("k")).agg(*_moments()), 1.0)
+    return diagonal.unionByName(parts)
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+    """One concentration step of every group and start: bins of the distance, their moments, and those up to the border."""
+    at = F.floor(F.log(_mahalanobis() + 1e-3) * DISTANCE_BINS).cast("bigint")
+    bins = _with(rows, estimate, few).withColumn("bin", at).groupBy("g", "k", "bin").agg(*_moments())
+    run = Window.partitionBy("g", "k").orderBy("bin")
+    before = F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nearest = bins.withColumn("__before", before).withColumn("__all", F.sum("n").over(Window.partitionBy("g", "k"))).where(F.col("__before") < H * F.col("__all"))
+    sums = nearest.groupBy("g", "k").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in DIMENSIONS), *(f"s{i}{j}" for i, j in PAIRS))))
+    return _from_moments(sums, CONSISTENCY)
+
+
+def _shrunk(best: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each group's estimate mixed with that of all rows, by rows of the group against ``SHRINK``."""
+    whole = best.where(F.col("g") == EVERYTHING).select(*(F.col(c).alias(f"w{c}") for c in (*M, *L)))
+    both = best.where(F.col("g") != EVERYTHING).join(sizes, "g").join(F.broadcast(whole))  # one row
+    share = F.col("n") / (F.col("n") + SHRINK)
+
+    def scatter(prefix: str, i: int, j: int) -> Column:
+        return sum((F.col(f"{prefix}l{i}{k}") * F.col(f"{prefix}l{j}{k}") for k in range(j + 1)), F.lit(0.0))
+
+    mixed = {(i, j): share * scatter("", i, j) + (1 - share) * scatter("w", i, j) for i, j in PAIRS}
+    centre = [(share * F.col(f"m{i}") + (1 - share) * F.col(f"wm{i}")).alias(f"m{i}") for i in DIMENSIONS]
+    return _factored(both.select("g", *centre, *(mixed[p].alias(f"c{p[0]}{p[1]}") for p in PAIRS)), {p: F.col(f"c{p[0]}{p[1]}") for p in PAIRS}, ["g"]).drop("det")
+
+
 def judge(counts: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """``counts`` (a materialised :func:`text_counts` table) with ``distance`` and ``kept``.
 
     ``distance`` is null where the base rule failed.
     """
     named = [F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")) for c in group]
-    own, pool = F.concat_ws("\x1f", *named), F.concat(named[0], F.lit("\x1e"))
+    own = F.concat_ws("\x1f", *named)
     vectors = [v.alias(f"x{i}") for i, v in enumerate(statistics())]
-    passed = counts.where(~F.col("base_failed"))
-    sizes = materialise(passed.groupBy(own.alias("__own"), pool.alias("__pool")).agg(F.count("*").alias("__n")), "mcd-groups")
-    pools = sizes.where(F.col("__n") < MIN_ROWS).groupBy("__pool").agg(F.sum("__n").alias("__pooled"))
-    pool_of = F.when(F.col("__pooled") >= MIN_ROWS, F.col("__pool")).otherwise(F.lit(EVERYTHING))
-    named_group = F.when(F.col("__n") >= MIN_ROWS, F.col("__own")).otherwise(pool_of)
-    sizes = materialise(sizes.join(pools, "__pool", "left").select("__own", named_group.alias("g")), "mcd-pools")
-    xs = [f"x{i}" for i in DIMENSIONS]
-    rows = passed.select(own.alias("__own"), *vectors).join(small_side(sizes), "__own").select("g", *xs)
-    if sizes.where(F.col("g") == EVERYTHING).limit(1).count():
-        rows = rows.where(F.col("g") != EVERYTHING).unionByName(passed.select(F.lit(EVERYTHING).alias("g"), *vectors))
-    columns = [F.col(x) for x in xs]
-    medians = materialise(_binned(rows, columns, 0.5, "med"), "mcd-medians")
-    off = [F.abs(F.col(f"x{i}") - F.col("med")[i]) for i in DIMENSIONS]
-    spreads = materialise(_binned(rows.join(small_side(medians), "g"), off, 0.5, "mad"), "mcd-spreads")
-    start = rows.join(small_side(medians), "g").join(small_side(spreads), "g")
-    scaled = [(F.col(f"x{i}") - F.col("med")[i]) / (1.4826 * F.col("mad")[i] + FLOORS[i]) for i in DIMENSIONS]
-    estimate = _estimate(start, sum((v * v for v in scaled[1:]), scaled[0] * scaled[0]))
-    for _ in range(STEPS - 1):
-        estimate = _estimate(rows.join(small_side(estimate), "g").withColumn("__d", _mahalanobis()).select("g", *xs, "__d"), F.col("__d"))
+    part = F.pmod(31 * F.col("n_words") + F.col("word_chars"), F.lit(PARTS)).cast("int")
+    rows = materialise(counts.where(~F.col("base_failed")).select(own.alias("g"), part.alias("part"), *vectors), "mcd-rows")
+    sizes = materialise(rows.groupBy("g").agg(F.count("*").alias("n")), "mcd-sizes")
+    few = sizes.count() * 3 <= BROADCAST_ESTIMATES
+    estimate = materialise(_starts(rows, few).withColumn("settled", F.lit(False)), "mcd-start")
+    for _ in range(MAX_STEPS):
+        going = estimate.where(~F.col("settled"))
+        last = going.select("g", "k", F.col("det").alias("__det"))
+        after = _concentrated(rows, going.select("g", "k", *M, *L), few).join(F.broadcast(last) if few else last, ["g", "k"])
+        after = after.withColumn("settled", F.abs(F.col("det") - F.col("__det")) < SETTLED).drop("__det")
+        estimate = materialise(after.unionByName(estimate.where("settled")), "mcd-step")
+        if not estimate.where(~F.col("settled")).limit(1).count():
+            break
+    best = estimate.groupBy("g").agg(F.min_by(F.struct(*M, *L), F.struct(F.round("det", 9), "k")).alias("e")).select("g", "e.*")
+    final = materialise(_shrunk(best, sizes), "mcd-estimate")
     given = [c for c in counts.columns if c not in ("distance", "kept")]
     judged = (
-        counts.select(*given, own.alias("__own"), *vectors).join(small_side(sizes), "__own", "left")
-        .join(small_side(estimate.drop("n")), "g", "left")
+        counts.select(*given, own.alias("g"), *vectors)
+        .join(F.broadcast(final) if few else final, "g", "left")
         .withColumn("distance", F.when(~F.col("base_failed"), _mahalanobis()))
     )
     return judged.select(*given, "distance", (~F.col("base_failed") & (F.col("distance") <= CUT)).alias("kept"))
@@ -189,20 +252,17 @@ def reject_outliers(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same counts, steps and cut as SQL."""
+    """The same counts, starts, steps and cut as SQL (steps after the last change change nothing)."""
     d = list(DIMENSIONS)
-    xs = ", ".join(f"x{i}" for i in d)
-
-    def quantile(rows: str, keys: str, share: float) -> str:
-        return (
-            f"SELECT {keys}, min(bin) AS bin FROM (SELECT {keys}, bin, sum(count(*)) OVER (PARTITION BY {keys} ORDER BY bin) AS run, sum(count(*)) OVER (PARTITION BY {keys}) AS n "
-            f"FROM ({rows}) GROUP BY {keys}, bin) WHERE run >= {share} * n GROUP BY {keys}"
-        )
+    xs, ms, ls = ", ".join(X), ", ".join(M), ", ".join(L)
 
     def spread(rows: str, values: list[str], name: str) -> str:
         long = " UNION ALL ".join(f"SELECT g, {i} AS d, CAST(round(({v}) * {VALUE_BINS}) AS BIGINT) AS bin FROM {rows}" for i, v in zip(d, values, strict=True))
-        picked = ", ".join(f"max(CASE WHEN d = {i} THEN bin / {float(VALUE_BINS)} END) AS {name}{i}" for i in d)
-        return f"SELECT g, {picked} FROM ({quantile(long, 'g, d', 0.5)}) GROUP BY g"
+        least = (
+            "SELECT g, d, min(bin) AS bin FROM (SELECT g, d, bin, sum(count(*)) OVER (PARTITION BY g, d ORDER BY bin) AS run, sum(count(*)) OVER (PARTITION BY g, d) AS n "
+            f"FROM ({long}) GROUP BY g, d, bin) WHERE run >= 0.5 * n GROUP BY g, d"
+        )
+        return f"SELECT g, {', '.join(f'max(CASE WHEN d = {i} THEN bin / {float(VALUE_BINS)} END) AS {name}{i}' for i in d)} FROM ({least}) GROUP BY g"
 
     def mahalanobis() -> str:
         z: list[str] = []
@@ -210,26 +270,40 @@ def _oracle() -> str:
             z.append(f"((x{i} - m{i}" + "".join(f" - l{i}{j} * {z[j]}" for j in range(i)) + f") / l{i}{i})")
         return " + ".join(f"{v} * {v}" for v in z)
 
-    def estimate(k: int, rows: str, distance: str) -> str:
-        sums = ", ".join([f"sum(x{i}) / count(*) AS m{i}" for i in d] + [f"sum(x{i} * x{j}) / count(*) AS s{i}{j}" for i in d for j in range(i + 1)])
-        out, last = [], f"near{k}"
-        out.append(f"far{k} AS MATERIALIZED (SELECT *, CAST(floor(ln({distance} + 1e-3) * {DISTANCE_BINS}) AS BIGINT) AS bin FROM {rows})")
-        out.append(f"border{k} AS MATERIALIZED ({quantile(f'SELECT g, bin FROM far{k}', 'g', H)})")
-        out.append(f"near{k} AS MATERIALIZED (SELECT f.g, count(*) AS n, {sums} FROM far{k} f JOIN border{k} b ON f.g = b.g WHERE f.bin <= b.bin GROUP BY f.g)")
-        for i in d:
-            for j in range(i + 1):
-                left = f"{CONSISTENCY} * (s{i}{j} - m{i} * m{j})" + (f" + {FLOORS[i] ** 2}" if i == j else "") + "".join(f" - l{i}{c} * l{j}{c}" for c in range(j))
-                value = f"sqrt(greatest({left}, {FLOORS[i] ** 2 / 4}))" if i == j else f"({left}) / l{j}{j}"
-                out.append(f"e{k}_{i}{j} AS (SELECT *, {value} AS l{i}{j} FROM {last})")
-                last = f"e{k}_{i}{j}"
-        ls = ", ".join(f"l{i}{j}" for i in d for j in range(i + 1))
-        out.append(f"est{k} AS MATERIALIZED (SELECT g, n, {', '.join(f'm{i}' for i in d)}, {ls} FROM {last})")
-        return ",\n".join(out)
-
-    scaled = " + ".join(f"((x{i} - med{i}) / (1.4826 * mad{i} + {FLOORS[i]})) * ((x{i} - med{i}) / (1.4826 * mad{i} + {FLOORS[i]}))" for i in d)
-    steps = [estimate(0, "(SELECT r.*, " + ", ".join(f"med{i}, mad{i}" for i in d) + " FROM rows r JOIN med USING (g) JOIN mad USING (g))", scaled)]
-    for k in range(1, STEPS):
-        steps.append(estimate(k, f"(SELECT g, {xs}, dist FROM (SELECT r.g, {xs}, {mahalanobis()} AS dist FROM rows r JOIN est{k - 1} e ON r.g = e.g))", "dist"))
+    def factor(scatter: str) -> str:
+        """Columns l00.. as aliases that build on each other."""
+        out = []
+        for i, j in PAIRS:
+            left = scatter.format(i=i, j=j) + "".join(f" - l{i}{c} * l{j}{c}" for c in range(j))
+            out.append(f"sqrt(greatest({left}, {FLOORS[i] ** 2 / 4})) AS l{i}{j}" if i == j else f"({left}) / l{j}{j} AS l{i}{j}")
+        return ", ".join(out)
+
+    means = ", ".join([f"sum(x{i}) / count(*) AS m{i}" for i in d] + [f"sum(x{i} * x{j}) / count(*) AS s{i}{j}" for i, j in PAIRS])
+
+    det = " + ".join(f"2 * ln(l{i}{i})" for i in d)
+
+    def estimate(rows: str, consistency: float) -> str:
+        floored = ", ".join(f"{consistency} * (s{i}{j} - m{i} * m{j}) + {FLOORS[i] ** 2 if i == j else 0.0} AS c{i}{j}" for i, j in PAIRS)
+        return f"SELECT *, {det} AS det FROM (SELECT g, k, {ms}, {factor('c{i}{j}')} FROM (SELECT g, k, {ms}, {floored} FROM (SELECT g, k, {means} FROM {rows} GROUP BY g, k)))"
+
+    diagonal = ", ".join(f"1.4826 * mad{i} + {FLOORS[i]} AS l{i}{j}" if i == j else f"0.0 AS l{i}{j}" for i, j in PAIRS)
+    steps = [
+        f"est0 AS MATERIALIZED (SELECT *, {det} AS det, false AS settled FROM (SELECT g, 0 AS k, {', '.join(f'med{i} AS m{i}' for i in d)}, {diagonal} FROM med JOIN mad USING (g) "
+        f"UNION ALL SELECT g, k, {ms}, {ls} FROM ({estimate('(SELECT *, part + 1 AS k FROM rows WHERE part < 2)', 1.0)})))"
+    ]
+    for t in range(1, MAX_STEPS + 1):
+        far = f"SELECT r.g, e.k, {xs}, CAST(floor(ln({mahalanobis()} + 1e-3) * {DISTANCE_BINS}) AS BIGINT) AS bin FROM rows r JOIN est{t - 1} e ON r.g = e.g WHERE NOT e.settled"
+        border = f"SELECT g, k, bin, sum(count(*)) OVER (PARTITION BY g, k ORDER BY bin) - count(*) AS before, sum(count(*)) OVER (PARTITION BY g, k) AS n FROM far{t} GROUP BY g, k, bin"
+        steps.append(f"far{t} AS MATERIALIZED ({far})")
+        steps.append(f"near{t} AS MATERIALIZED (SELECT f.* FROM far{t} f JOIN ({border}) b ON f.g = b.g AND f.k = b.k AND f.bin = b.bin WHERE b.before < {H} * b.n)")
+        steps.append(
+            f"est{t} AS MATERIALIZED (SELECT n.*, abs(n.det - e.det) < {SETTLED} AS settled FROM ({estimate(f'near{t}', CONSISTENCY)}) n JOIN est{t - 1} e ON e.g = n.g AND e.k = n.k "
+            f"UNION ALL SELECT g, k, {ms}, {ls}, det, settled FROM est{t - 1} WHERE settled)"
+        )
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(det, 9), k) AS nth FROM est{MAX_STEPS}"
+    whole = ", ".join(f"w.{c} AS w{c}" for c in (*M, *L))
+    product = lambda p, i, j: " + ".join(f"{p}l{i}{k} * {p}l{j}{k}" for k in range(j + 1))
+    mixed = ", ".join([f"share * m{i} + (1 - share) * wm{i} AS z{i}" for i in d] + [f"share * ({product('', i, j)}) + (1 - share) * ({product('w', i, j)}) AS c{i}{j}" for i, j in PAIRS])
     return f"""WITH split AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), windows AS (
@@ -245,19 +319,19 @@ def _oracle() -> str:
          CAST(length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM split s LEFT JOIN repeated r ON r.doc_id = s.doc_id LEFT JOIN dup d ON d.doc_id = s.doc_id
 ), judged AS MATERIALIZED (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('s' || lang, 'n') || chr(31) || coalesce('s' || source, 'n') AS own, coalesce('s' || lang, 'n') || chr(30) AS pool,
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('s' || lang, 'n') || chr(31) || coalesce('s' || source, 'n') AS own, (31 * n_words + word_chars) % {PARTS} AS part,
          ln(1 + n_words) AS x0, ln(word_chars / nullif(n_words, 0)) AS x1, sqrt(n_symbols / nullif(word_chars, 0)) AS x2, ln(1 + n_dup_lines) AS x3, n_repeat_words / nullif(n_words, 0) AS x4
   FROM counts
-), sizes AS (
-  SELECT own, CASE WHEN count(*) >= {MIN_ROWS} THEN own ELSE pool END AS g FROM judged WHERE NOT base_failed GROUP BY own, pool
 ), rows AS MATERIALIZED (
-  SELECT g, {xs} FROM judged JOIN sizes USING (own) WHERE NOT base_failed
-), med AS MATERIALIZED ({spread("rows", [f"x{i}" for i in d], "med")}),
+  SELECT unnest([own, chr(29)]) AS g, part, {xs} FROM judged WHERE NOT base_failed
+), med AS MATERIALIZED ({spread("rows", X, "med")}),
 mad AS MATERIALIZED ({spread("(SELECT r.*, " + ", ".join(f"med{i}" for i in d) + " FROM rows r JOIN med USING (g))", [f"abs(x{i} - med{i})" for i in d], "mad")}),
-{", ".join(steps)}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(CASE WHEN e.n >= {H * MIN_ROWS} THEN {mahalanobis()} END, 0) <= {CUT} AS kept
-FROM judged j LEFT JOIN sizes s ON s.own = j.own LEFT JOIN est{STEPS - 1} e ON e.g = s.g"""
+{", ".join(steps)},
+best AS (SELECT * FROM ({ranked}) WHERE nth = 1),
+joint AS (SELECT b.g, {", ".join(f"b.{c}" for c in (*M, *L))}, {whole}, s.n / (s.n + {SHRINK}) AS share FROM best b JOIN (SELECT g, count(*) AS n FROM rows GROUP BY g) s ON s.g = b.g, best w WHERE w.g = chr(29) AND b.g <> chr(29)),
+final AS MATERIALIZED (SELECT g, {", ".join(f"z{i} AS m{i}" for i in d)}, {factor("c{i}{j}")} FROM (SELECT g, {mixed} FROM joint))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {mahalanobis()} <= {CUT} AS kept
+FROM judged j LEFT JOIN final e ON e.g = j.own"""
 
 
 ORACLE = _oracle()
