@@ -112,7 +112,49 @@ def test_quality_odd_rows(spark):
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     positive, unlabelled = rng.normal(2, 1, 5000), np.concatenate([rng.normal(2, 1, 8000), rng.normal(-3, 1, 2000)])
-    assert abs(quality.estimate_prior(positive, unlabelled) - 0.8) < 0.05
+    grid = quality.thresholds(positive)
+    got = quality.prior_from_tails(quality.above(positive, grid) / 5000, quality.above(unlabelled, grid) / 10_000, 5000, 10_000)
+    assert abs(got - 0.8) < 0.05
+    assert quality.above(np.array([1.0, 2.0, 2.0]), np.array([0.0, 2.0, 3.0])).tolist() == [3, 2, 0]
+
+
+def risk(w, dp, du, prior):
+    """The non-negative unbiased risk with ridge, written down as it is."""
+    loss = lambda g: np.log1p(np.exp(-g))
+    negative = loss(-(du @ w)).mean() - prior * loss(-(dp @ w)).mean()
+    return prior * loss(dp @ w).mean() + max(0.0, negative) + (quality._decay(dp.shape[1] - 1) * w * w).sum() / 2
+
+
+@pytest.mark.parametrize("prior", [0.5, 0.68, 0.72, 0.8, 0.97])
+def test_risk_is_least(prior):
+    """No point near or far has less risk, with a prior that is too small, too large or far too large."""
+    rng = np.random.default_rng(2)
+    make = lambda n, at: np.concatenate([rng.normal(at, 1, (n, 4)), np.ones((n, 1))], axis=1)
+    dp, du = make(300, 1.2), np.concatenate([make(700, 1.2), make(300, -1.2)])
+    w = quality.minimise_risk(dp, quality.logistic(du, -1), prior)
+    least = risk(w, dp, du, prior)
+    for scale in (1e-3, 1e-2, 0.1, 1.0):
+        for _ in range(200):
+            assert risk(w + rng.normal(0, scale, 5), dp, du, prior) > least - 2e-4
+
+
+def test_parts_are_derivatives():
+    rng = np.random.default_rng(5)
+    z, w = rng.normal(size=(50, 4)), rng.normal(size=4)
+    for sign in (1, -1):
+        parts = quality.logistic(z, sign)
+        _, gradient, curvature = parts(w)
+        for k in range(4):
+            e = np.eye(4)[k] * 1e-5
+            assert abs((parts(w + e)[0] - parts(w - e)[0]) / 2e-5 - gradient[k]) < 1e-8
+            assert np.allclose((parts(w + e)[1] - parts(w - e)[1]) / 2e-5, curvature[k], atol=1e-8)
+
+
+def test_sums_cover_all_rows(spark):
+    rows = [(k, " ".join(f"w{k % 7}{j}" for j in range(k % 40))) for k in range(300)]
+    table = quality.materialise(quality.feature_table(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(23)), "t")
+    want = sum(quality.features(t).astype(np.float64) for _, t in rows)
+    assert np.allclose(quality._summed(table, lambda x: x.sum(axis=0, dtype=np.float64)), want)
 
 
 # Operator 4.

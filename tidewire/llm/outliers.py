@@ -172,7 +172,8 @@ def _with(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """Rows in both groups with each start's estimate (``few``: their number is within the bound). The group of all rows has as many estimates as there are starts."""
     own, whole = estimate.where(F.col("g") != EVERYTHING), estimate.where(F.col("g") == EVERYTHING)
     both = rows.join(F.broadcast(own) if few else own, "g")
-    return both.unionByName(rows.withColumn("g", F.lit(EVERYTHING)).join(F.broadcast(whole), "g").select(*both.columns))
+    # Not a literal, which would make a nested loop of the join with these few rows.
+    return both.unionByName(rows.withColumn("g", F.when(F.col("part").isNotNull(), F.lit(EVERYTHING))).join(F.broadcast(whole), "g").select(*both.columns))
 
 
 def _starts(rows: DataFrame, few: bool) -> DataFrame:
@@ -202,8 +203,8 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
 
 def _shrunk(best: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each group's estimate mixed with that of all rows, by rows of the group against ``SHRINK``."""
-    whole = best.where(F.col("g") == EVERYTHING).select(*(F.col(c).alias(f"w{c}") for c in (*M, *L)))
-    both = best.where(F.col("g") != EVERYTHING).join(sizes, "g").join(F.broadcast(whole))  # one row
+    whole = best.where(F.col("g") == EVERYTHING).select(F.col("g").alias("w"), *(F.col(c).alias(f"w{c}") for c in (*M, *L)))
+    both = best.where(F.col("g") != EVERYTHING).join(sizes, "g").withColumn("w", F.when(F.col("n") > 0, F.lit(EVERYTHING))).join(F.broadcast(whole), "w")  # one row
     share = F.col("n") / (F.col("n") + SHRINK)
 
     def scatter(prefix: str, i: int, j: int) -> Column:

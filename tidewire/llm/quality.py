@@ -1,50 +1,87 @@
 """Quality classifier by positive-unlabelled learning (operator 3).
 
-Every whole text becomes one row of features (rates of characters, shares of
-repeats, shapes of words and lines), written once. The model is fitted on the
-driver from two bounded samples of those rows: trusted positives (label 1, not
-held out) and unlabelled rows (not held out, labels never looked at). It
-minimises the non-negative unbiased risk (Kiryo et al. 2017)
+Every whole text becomes one row of features, written once: rates of characters,
+shares of repeats, shapes of words and lines, and shares of words and of word pairs
+by hash. The model is linear in them and minimises the non-negative unbiased risk
+(Kiryo et al. 2017)
 
     prior * E_p[loss(g)] + max(0, E_u[loss(-g)] - prior * E_p[loss(-g)])
 
 with the logistic loss, so the sigmoid of ``g`` estimates the chance of label 1.
+The expectation over unlabelled rows covers all rows that aren't held out (labels
+are never looked at); it, its gradient and its curvature are sums that tasks make
+of their rows. Trusted positives (label 1, not held out) are a sample of about
+``SAMPLE`` rows on the driver, by a hash of the id alone. For a logistic loss the
+risk is the larger of two convex functions, so it has one minimum: the minimum of
+``prior * E_p[loss(g)] + part * (E_u[loss(-g)] - prior * E_p[loss(-g)])`` with
+part 1, or, if the bracket is negative there, with the part between 0 and 1 that
+makes it 0 (part 0 if it is negative even there). Newton steps find each, bisection
+the part.
+
 The class prior is estimated first (best-bin estimate, Garg et al. 2021): a
-discriminator of positives against unlabelled rows orders both samples, and the
-smallest ratio of their upper tails is the share of positives.
-
-``SAMPLE`` bounds each sample (in expectation; membership depends on a hash of
-the id alone). Scoring covers all rows. Null and empty texts have all-zero
-features and are scored like any other. Repeated rows score alike. Without
-positives there is nothing to learn from: all scores are 0.5. Label rows with a
-null id or null quality are ignored. An empty table gives no rows.
+discriminator of positives against unlabelled rows orders both, and the smallest
+ratio of their upper tails is the share of positives.
+
+Scoring covers all rows. Null and empty texts have all-zero features and are scored
+like any other. Repeated rows score alike. Without positives there is nothing to
+learn from: all scores are 0.5. Label rows with a null id or null quality are
+ignored. Columns of the input named like features or scores are never read; other
+columns pass through ``keep_quality`` unchanged. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._store import materialise, release, ship, small_side
+from tidewire.llm._store import materialise, numbered, release, ship, small_side
 
-#: Rows of either sample that the fit uses.
+#: Labelled rows (trusted positives) that the fit uses, about.
 SAMPLE = 20_000
 #: Share of label folds that is never learned from: crc32(doc_id) mod 5 = 0.
 FOLDS = 5
 THRESHOLD = 0.3
 #: Marks that are counted together: stops, pauses, calls, quotes and brackets, joints, symbols.
 MARKS = (".,", ";:", "!?", "\"'()[]{}`", "-/_@=+", "#*$%&|<>~^\\")
-ROUNDS, RATE, DECAY = 400, 0.05, 1e-3
+#: Hash buckets of words and of word pairs, and the words whose hashes a task remembers.
+BUCKETS, KEEP_WORDS = 32, 150_000
+#: Ridge on the weights (hashed features are many and each says little), Newton steps of a fit at most, and bisections.
+DECAY, HASHED_DECAY, STEPS, BISECTIONS = 1e-3, 0.1, 25, 14
+#: Rows of partial sums that reach the driver at once, at most.
+SLOTS = 16
 #: Features are scaled by their deviation, but no rare one by less than this, and clipped.
 LEAST_SCALE, CLIP = 0.05, 4.0
 
 
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_WORDS = _Words()
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    """Roots of the shares of words, and of word pairs, by hash bucket."""
+    if not words:
+        return np.zeros(2 * BUCKETS)
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    ones = np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) / len(h)
+    twos = np.bincount((pairs % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) / max(1, len(pairs))
+    return np.sqrt(np.concatenate([ones, twos]))
+
+
 def features(text: str | None) -> np.ndarray:
     """The feature row of one whole text."""
     text = text or ""
@@ -75,26 +112,29 @@ def features(text: str | None) -> np.ndarray:
         sum(not any(map(str.isalnum, w)) for w in words) / n,
         float(not words),
     ]
-    return np.concatenate([marks, shape]).astype(np.float32)
+    return np.concatenate([marks, shape, _hashed(words)]).astype(np.float32)
 
 
-WIDTH = len(MARKS) + 16
+PLAIN = len(MARKS) + 16
+WIDTH = PLAIN + 2 * BUCKETS
 
 
-def feature_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key`` and ``features``; other columns of ``docs`` are never read."""
+def feature_table(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` and ``features``; other columns of ``docs`` are never read."""
     ship(docs.sparkSession)
-    schema = docs.select(key).schema.add("features", T.ArrayType(T.FloatType()))
+    schema = docs.select(*keys).schema.add("features", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                rows = np.concatenate([features(t) for t in some.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * WIDTH, pa.int32()), pa.array(rows))], names=schema.names)
+                rows = np.concatenate([features(t) for t in some.column(len(keys)).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * WIDTH, pa.int32()), pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keys))), lists], names=schema.names)
+        _WORDS.clear()
         release()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 class Model:
@@ -115,46 +155,162 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(size: int, gradient, rounds: int = ROUNDS) -> np.ndarray:
-    w, first, second, mean = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
-    for k in range(1, rounds + 1):
-        g = gradient(w) + DECAY * w
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w = w - RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        if k > rounds * 3 // 4:  # the last quarter's mean: the risk has a kink at 0
-            mean += w / (rounds - rounds * 3 // 4)
-    return mean
+def _decay(size: int) -> np.ndarray:
+    return np.concatenate([np.full(min(size, PLAIN), DECAY), np.full(max(0, size - PLAIN), HASHED_DECAY), [DECAY]])
+
+
+#: Of weights: mean loss, gradient and curvature over a set of rows.
+Parts = Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]
+
 
+def newton(parts: Parts, size: int, start: np.ndarray | None = None) -> np.ndarray:
+    """The minimum of a convex mean loss with ridge, by Newton steps that are halved where they climb."""
+    decay = _decay(size)
+    w = np.zeros(size + 1) if start is None else start
+    value, gradient, curvature = parts(w)
+    value += (decay * w * w).sum() / 2
+    for _ in range(STEPS):
+        step = np.linalg.solve(curvature + np.diag(decay), gradient + decay * w)
+        length = 1.0
+        while True:
+            tried = w - length * step
+            found, of_tried, curve = parts(tried)
+            found += (decay * tried * tried).sum() / 2
+            if found <= value + 1e-12 or length < 1e-4:
+                break
+            length /= 2
+        gain, w, value, gradient, curvature = value - found, tried, found, of_tried, curve
+        if gain < 1e-9:
+            break
+    return w
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from scores that order both."""
-    grid = np.unique(np.quantile(positive, np.linspace(0, 0.9, 181)))
-    upper_p = 1 - np.searchsorted(np.sort(positive), grid) / len(positive)
-    upper_u = 1 - np.searchsorted(np.sort(unlabelled), grid) / len(unlabelled)
-    slack = np.sqrt(np.log(40) / 2 / len(positive)) + np.sqrt(np.log(40) / 2 / len(unlabelled))
+
+def logistic(z: np.ndarray, sign: int) -> Parts:
+    """Mean of log(1 + exp(-sign * z w)) over the rows of a design matrix."""
+
+    def parts(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        g = sign * (z @ w)
+        s = _sigmoid(-g)
+        return float(np.logaddexp(0, -g).mean()), -sign * (z.T @ s) / len(z), (z * (s * (1 - s))[:, None]).T @ z / len(z)
+
+    return parts
+
+
+def prior_from_tails(upper_p: np.ndarray, upper_u: np.ndarray, n_p: int, n_u: int) -> float:
+    """Share of positives among the unlabelled, from the shares of either above common thresholds."""
+    slack = np.sqrt(np.log(40) / 2 / n_p) + np.sqrt(np.log(40) / 2 / n_u)
     best = np.argmin((upper_u + slack) / upper_p)
     return float(np.clip(upper_u[best] / upper_p[best], 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
-    """Minimises the non-negative unbiased risk; the prior is estimated unless given."""
-    p, u = positive.astype(np.float64), unlabelled.astype(np.float64)
-    scale = np.maximum(np.concatenate([p, u]).std(axis=0), LEAST_SCALE)
-    model = Model(p.mean(axis=0), scale, np.zeros(p.shape[1] + 1), 0.5)
-    dp, du = model.design(p), model.design(u)
+def thresholds(positive: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(positive, np.linspace(0, 0.9, 181)))
+
+
+def above(scores: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """How many scores reach each threshold."""
+    return len(scores) - np.searchsorted(np.sort(scores), grid)
+
+
+def minimise_risk(dp: np.ndarray, unlabelled: Parts, prior: float) -> np.ndarray:
+    """Weights of least non-negative unbiased risk; ``unlabelled``: parts of E_u[loss(-g)]."""
+    right, wrong = logistic(dp, 1), logistic(dp, -1)
+    size = dp.shape[1] - 1
+
+    def with_part(part: float) -> Parts:
+        def parts(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            (a, ga, ha), (b, gb, hb), (c, gc, hc) = right(w), wrong(w), unlabelled(w)
+            return prior * a + part * (c - prior * b), prior * ga + part * (gc - prior * gb), prior * ha + part * (hc - prior * hb)
+
+        return parts
+
+    def negative(w: np.ndarray) -> float:
+        return unlabelled(w)[0] - prior * wrong(w)[0]
+
+    w = newton(with_part(1.0), size)
+    if negative(w) >= 0:
+        return w
+    w = newton(with_part(0.0), size)
+    if negative(w) <= 0:
+        return w
+    low, high = 0.0, 1.0
+    for _ in range(BISECTIONS):
+        part = (low + high) / 2
+        w = newton(with_part(part), size, w)
+        low, high = (part, high) if negative(w) >= 0 else (low, part)
+    return w
+
+
+def _summed(table: DataFrame, of_rows: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of a vector that tasks compute of their features; tasks' vectors are added up in SLOTS groups before the driver adds these."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            lists = batch.column(1)
+            for at in range(0, batch.num_rows, 4096):
+                some = lists.slice(at, 4096)
+                found = of_rows(np.asarray(some.flatten()).reshape(-1, WIDTH))
+                total = found if total is None else total + found
+            slot = batch.column(0)[0].as_py() % SLOTS
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["slot", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        rows = np.asarray(group["sums"].combine_chunks().flatten()).reshape(group.num_rows, -1)
+        return pa.table({"sums": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))})
+
+    parts = table.select(F.spark_partition_id(), "features").mapInArrow(partial, "slot int, sums array<double>")
+    return np.sum([r.sums for r in parts.groupBy("slot").applyInArrow(added, "sums array<double>").collect()], axis=0)
+
+
+def fit(positive: np.ndarray, table: DataFrame, prior: float | None = None) -> Model | None:
+    """The model from positive rows and a materialised table of unlabelled ``features``; the prior is estimated unless given."""
+    p = positive.astype(np.float64)
+    moments = _summed(table, lambda x: np.concatenate([[len(x)], x.sum(axis=0, dtype=np.float64), (x.astype(np.float64) ** 2).sum(axis=0)]))
+    if moments.ndim == 0 or not len(p):
+        return None
+    n = int(moments[0])
+    total, squares = moments[1 : WIDTH + 1] + p.sum(axis=0), moments[WIDTH + 1 :] + (p * p).sum(axis=0)
+    deviation = np.sqrt(np.maximum(squares / (n + len(p)) - (total / (n + len(p))) ** 2, 0))
+    model = Model(p.mean(axis=0), np.maximum(deviation, LEAST_SCALE), np.zeros(WIDTH + 1), 0.5)
+    dp = model.design(p)
+    width = WIDTH + 1
+
+    def unlabelled(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def of_rows(x: np.ndarray) -> np.ndarray:
+            z = model.design(x.astype(np.float64))
+            g = z @ w
+            s = _sigmoid(g)
+            return np.concatenate([[np.logaddexp(0, g).sum()], z.T @ s, ((z * (s * (1 - s))[:, None]).T @ z).ravel()])
+
+        sums = _summed(table, of_rows) / n
+        return float(sums[0]), sums[1 : width + 1], sums[width + 1 :].reshape(width, width)
+
+    def remembered(f: Parts) -> Parts:
+        last: list = [None, None]
+
+        def parts(w: np.ndarray):
+            if last[0] is None or not np.array_equal(last[0], w):
+                last[:] = [w.copy(), f(w)]
+            return last[1]
+
+        return parts
+
+    unlabelled = remembered(unlabelled)
     if prior is None:
-        # Positives against unlabelled rows, each side weighing a half.
-        apart = _descend(dp.shape[1], lambda w: (dp.T @ (_sigmoid(dp @ w) - 1)) / (2 * len(dp)) + (du.T @ _sigmoid(du @ w)) / (2 * len(du)))
-        prior = estimate_prior(dp @ apart, du @ apart)
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        gp, gu = dp @ w, du @ w
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_negative = du.T @ _sigmoid(gu) / len(du) - prior * (dp.T @ _sigmoid(gp)) / len(dp)
-        of_positive = prior * (dp.T @ (_sigmoid(gp) - 1)) / len(dp)
-        return of_positive + of_negative if negative > 0 else of_positive  # no risk is negative
-
-    model.weights, model.prior = _descend(dp.shape[1], gradient), prior
+        right = logistic(dp, 1)
+
+        def halves(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            (a, ga, ha), (c, gc, hc) = right(w), unlabelled(w)
+            return (a + c) / 2, (ga + gc) / 2, (ha + hc) / 2
+
+        apart = newton(halves, WIDTH)
+        scores = dp @ apart
+        grid = thresholds(scores)
+        reach = _summed(table, lambda x: above(model.design(x.astype(np.float64)) @ apart, grid).astype(np.float64))
+        prior = prior_from_tails(above(scores, grid) / len(scores), reach / n, len(scores), n)
+    model.weights, model.prior = minimise_risk(dp, unlabelled, prior), prior
     return model
 
 
@@ -179,42 +335,38 @@ def train(table: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str =
     chosen = materialise(_sampled(positives, key, 1, positives.count(), sample), "positives")
     open_rows = table.where(~held_out(F.col(key)))
     p = _matrix(open_rows.join(small_side(chosen), key), key)
-    u = _matrix(_sampled(open_rows, key, 2, open_rows.count(), sample), key)
-    return fit(p, u) if len(p) and len(u) else None
+    return fit(p, open_rows) if len(p) else None
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """``key, held_out, score, predicted`` of every row."""
-    table = materialise(feature_table(docs, key=key), "features")
-    model = train(table, labels, sample, key)
-    schema = table.select(key).schema.add("score", T.DoubleType())
+def _scored(table: DataFrame, model: Model | None) -> DataFrame:
+    """The table with ``score`` instead of ``features``, its last column."""
+    keys = table.columns[:-1]
+    schema = table.select(*keys).schema.add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, WIDTH)
+            x = np.asarray(batch.column(len(keys)).flatten()).reshape(-1, WIDTH)
             got = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(got, pa.float64())], names=schema.names)
+
+    return table.mapInArrow(run, schema)
 
-    scored = table.select(key, "features").mapInArrow(run, schema)
+
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """``key, held_out, score, predicted`` of every row."""
+    table = materialise(feature_table(docs, keys=(key,)), "features")
+    scored = _scored(table, train(table, labels, sample, key))
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, columns unchanged.
 
-    The fit reads the feature table; the filter scores each text where it stands,
-    so no text is shuffled.
+    Each text is read once; the rows that go are found by their numbers, so whole
+    texts are shuffled only where these are too many to broadcast.
     """
-    ship(docs.sparkSession)
-    model = train(materialise(feature_table(docs), "features"), labels, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            for at in range(0, batch.num_rows, 1024):
-                some = texts.slice(at, 1024).to_pylist()
-                got = model.score(np.stack([features(t) for t in some])) if model else np.full(len(some), 0.5)
-                yield batch.slice(at, 1024).filter(pa.array(got >= threshold))
-        release()
-
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs, "__row")
+    table = materialise(feature_table(rows, keys=("doc_id", "__row")), "features")
+    scored = _scored(table, train(table, labels, sample))
+    gone = materialise(scored.where(F.col("score") < threshold).select("__row"), "rejected")
+    return rows.join(small_side(gone), "__row", "left_anti").drop("__row")
