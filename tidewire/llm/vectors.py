@@ -1,8 +1,10 @@
 """Embedding near-dedup by spherical k-means cells (operator 5).
 
 1. Vectors that are bitwise equal become one representative with a copy count.
-2. Spherical k-means is fitted on a bounded sample (``SAMPLE`` rows, chosen by a
-   hash of the id); every vector is assigned to its nearest centroid, its cell.
+2. Spherical k-means is fitted on a bounded sample, chosen by a hash of the id:
+   ``PER_CELL`` rows a cell, ``SAMPLE`` at least, and no more than ``SAMPLE_BYTES``.
+   Cells grow with the rows, ``CELL`` of them to a cell, up to ``MAX_CELLS``. Every
+   vector is assigned to its nearest centroid, its cell.
 3. A vector also visits each other cell that is no further from it than half a
    link. If x (cell c) and y (cell d) have cosine >= t, then ``<y, d - c> >= 0``,
    ``<x, c - d> >= 0``, and their sum ``<y - x, d - c>`` is at most
@@ -12,7 +14,7 @@
 4. A cell's own vectors and its visitors are compared in blocks of cosine
    products in double precision. Each of its own vectors counts its links there,
    and a visitor those to own vectors that don't visit its cell in turn (a vector
-   carries a bit for each cell it visits), so both ends count a link just once.
+   carries a list of the cells it visits), so both ends count a link just once.
    A block returns counts and a spanning forest of its links, never pairs. Hot
    cells have many blocks of bounded size, and no task holds more than one.
 5. Components of the forests give the groups; the smallest ``vec_id`` is kept.
@@ -39,8 +41,9 @@ from tidewire.llm._graph import connected_components
 from tidewire.llm._store import materialise, ship, small_side
 
 THRESHOLD = 0.95
-#: Rows that k-means is fitted on, the vectors a cell aims at, and the most cells.
-SAMPLE, CELL, MAX_CELLS = 20_000, 2048, 1024
+#: Rows that k-means is fitted on (in all, a cell, and the bytes of their doubles on the driver), the vectors a cell aims at, and the most cells.
+SAMPLE, PER_CELL, SAMPLE_BYTES = 20_000, 16, 128 << 20
+CELL, MAX_CELLS = 2048, 8192
 #: Own vectors and others that one comparison task holds.
 OWN_BLOCK, OTHER_BLOCK = 4096, 8192
 NO_ID = -(1 << 63)
@@ -118,12 +121,14 @@ def _rows(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def compare_block(
-    own: np.ndarray, own_id: np.ndarray, own_copies: np.ndarray, goes: np.ndarray, other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float
+    own: np.ndarray, own_id: np.ndarray, own_copies: np.ndarray, goes: list[np.ndarray], other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float
 ) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each own unit vector to the others (their copies summed), of each visitor to own vectors that don't visit its cell, and a spanning forest.
 
-    ``goes`` has a row of bits for each own vector, the cells it visits; ``home`` is a visitor's cell, -1 for the cell's own.
+    ``goes`` has the cells that each own vector visits; ``home`` is a visitor's cell, -1 for the cell's own.
     """
+    cells = max([0, *(int(g.max()) for g in goes if len(g)), int(home.max(initial=0))]) + 1
+    visits = np.unique(np.repeat(np.arange(len(own)), [len(g) for g in goes]) * cells + (np.concatenate(goes) if len(own) else 0))
     links, back = np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)
     node = {int(i): k for k, i in enumerate(np.union1d(own_id, other_id))}
     parent = list(range(len(node)))
@@ -140,7 +145,7 @@ def compare_block(
         hit &= own_id[at : at + 256, None] != other_id[None, :]
         links[at : at + 256] = hit @ copies
         rows, columns = np.nonzero(hit)
-        missed = (home[columns] >= 0) & ~goes[at + rows, home[columns]]
+        missed = (home[columns] >= 0) & ~np.isin((at + rows) * cells + home[columns], visits)
         np.add.at(back, columns[missed], own_copies[at + rows[missed]])
         for r, c in zip(rows, columns, strict=True):
             i, j = int(own_id[at + r]), int(other_id[c])
@@ -167,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     else:
         near = _compare(_in_cells(reps.where(F.col("width") == main.width), threshold, sample), threshold)
         # Vectors of each other length are one cell: compared in blocks, all with all.
-        rest = reps.where(F.col("width") != main.width).select(F.col("width").alias("cell"), F.lit(-1).alias("home"), F.lit(b"").alias("goes"), "rep", "copies", "v")
+        rest = reps.where(F.col("width") != main.width).select(F.col("width").alias("cell"), F.lit(-1).alias("home"), F.array().cast("array<int>").alias("goes"), "rep", "copies", "v")
         found = near.unionByName(_compare(rest, threshold))
     found = materialise(found, "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -192,14 +197,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
 def _in_cells(reps: DataFrame, threshold: float, sample: int) -> DataFrame:
     """``(cell, home, goes, rep, copies, v)``: every vector in its own cell and in those it visits. All have one length.
 
-    ``home`` is a visitor's own cell; it is -1 in its own cell, where ``goes`` has a bit for each cell (null elsewhere).
+    ``home`` is a visitor's own cell; it is -1 in its own cell, where ``goes`` has the cells that it visits (null elsewhere).
     """
     spark = reps.sparkSession
     total = reps.count()
+    width = reps.select("width").first().width
+    cells = max(1, min(MAX_CELLS, -(-total // CELL)))
+    sample = max(1, min(max(sample, PER_CELL * cells), SAMPLE_BYTES // (8 * width)))
     cut = 1 << 30 if total <= sample else int(sample / total * (1 << 30))
     some = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < cut).select("rep", "v").toArrow().sort_by("rep")
     x = unit(_rows(some, "v")) if some.num_rows else unit(_rows(reps.select("v").limit(1).toArrow(), "v"))
-    centroids = spark.sparkContext.broadcast(spherical_kmeans(x, max(1, min(MAX_CELLS, -(-total // CELL)))))  # at most MAX_CELLS rows
+    centroids = spark.sparkContext.broadcast(spherical_kmeans(x, cells))  # no larger than the sample
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -212,15 +220,14 @@ def _in_cells(reps: DataFrame, threshold: float, sample: int) -> DataFrame:
                 first = np.cumsum(times) - times
                 home = np.repeat(own, times)
                 home[first] = -1
-                bits = np.zeros((len(own), len(centroids.value)), bool)
-                bits[np.repeat(np.arange(len(own)), times - 1), np.delete(cells, first)] = True
-                masks = np.full(len(cells), None, object)
-                masks[first] = [row.tobytes() for row in np.packbits(bits, axis=1)]
+                lists: list = [None] * len(cells)
+                for k, g in zip(first, goes, strict=True):
+                    lists[k] = g.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(masks, pa.binary()), *(batch.column(k).take(take) for k in range(3))], names=["cell", "home", "goes", "rep", "copies", "v"]
+                    [pa.array(cells.astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(lists, pa.list_(pa.int32())), *(batch.column(k).take(take) for k in range(3))], names=["cell", "home", "goes", "rep", "copies", "v"]
                 )
 
-    placed = reps.select("rep", "copies", "v").mapInArrow(assign, f"cell int, home int, goes binary, rep bigint, copies bigint, v {reps.schema['v'].dataType.simpleString()}")
+    placed = reps.select("rep", "copies", "v").mapInArrow(assign, f"cell int, home int, goes array<int>, rep bigint, copies bigint, v {reps.schema['v'].dataType.simpleString()}")
     return materialise(placed, "cells")
 
 
@@ -232,14 +239,13 @@ def _compare(placed: DataFrame, threshold: float) -> DataFrame:
     )
     dealt = placed.join(small_side(blocks), "cell")
     salt = F.xxhash64("rep")
-    as_other = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(salt, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("own"), "home", F.lit(None).cast("binary").alias("goes"), "rep", "copies", "v")
+    as_other = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(salt, F.col("mb")).cast("int").alias("j"), F.lit(False).alias("own"), "home", F.lit(None).cast("array<int>").alias("goes"), "rep", "copies", "v")
     as_own = dealt.where("home < 0").select("cell", F.pmod(F.shiftright(salt, 20), F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), F.lit(True).alias("own"), "home", "goes", "rep", "copies", "v")
 
     def compare(group: pa.Table) -> pa.Table:
         mine = group["own"].to_numpy()
         x, ids, copies = unit(_rows(group, "v")), group["rep"].to_numpy(), group["copies"].to_numpy()
-        masks = [g for g in group["goes"].to_pylist() if g is not None]
-        goes = np.unpackbits(np.frombuffer(b"".join(masks), np.uint8).reshape(len(masks), -1), axis=1).astype(bool) if masks and masks[0] else np.zeros((len(masks), 1), bool)
+        goes = [np.array(g, np.int64) for g in group["goes"].to_pylist() if g is not None]
         counts, back, forest = compare_block(x[mine], ids[mine], copies[mine], goes, x[~mine], ids[~mine], copies[~mine], group["home"].to_numpy()[~mine], threshold)
         all_ids, all_counts = np.concatenate([ids[mine], ids[~mine]]), np.concatenate([counts, back])
         have = np.flatnonzero(all_counts)
