@@ -121,14 +121,14 @@ def _rows(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def compare_block(
-    own: np.ndarray, own_id: np.ndarray, own_copies: np.ndarray, goes: list[np.ndarray], other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float
+    own: np.ndarray, own_id: np.ndarray, own_copies: np.ndarray, goes: tuple[np.ndarray, np.ndarray], other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float
 ) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each own unit vector to the others (their copies summed), of each visitor to own vectors that don't visit its cell, and a spanning forest.
 
-    ``goes`` has the cells that each own vector visits; ``home`` is a visitor's cell, -1 for the cell's own.
+    ``goes`` has how many cells each own vector visits, and these cells; ``home`` is a visitor's cell, -1 for the cell's own.
     """
-    cells = max([0, *(int(g.max()) for g in goes if len(g)), int(home.max(initial=0))]) + 1
-    visits = np.unique(np.repeat(np.arange(len(own)), [len(g) for g in goes]) * cells + (np.concatenate(goes) if len(own) else 0))
+    cells = max(int(goes[1].max(initial=0)), int(home.max(initial=0))) + 1
+    visits = np.sort(np.repeat(np.arange(len(own)), goes[0]) * cells + goes[1])
     links, back = np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)
     node = {int(i): k for k, i in enumerate(np.union1d(own_id, other_id))}
     parent = list(range(len(node)))
@@ -145,7 +145,10 @@ def compare_block(
         hit &= own_id[at : at + 256, None] != other_id[None, :]
         links[at : at + 256] = hit @ copies
         rows, columns = np.nonzero(hit)
-        missed = (home[columns] >= 0) & ~np.isin((at + rows) * cells + home[columns], visits)
+        visitor = np.flatnonzero(home[columns] >= 0)
+        wanted = (at + rows[visitor]) * cells + home[columns[visitor]]
+        place = np.minimum(np.searchsorted(visits, wanted), len(visits) - 1)
+        missed = visitor[visits[place] != wanted] if len(visits) else visitor
         np.add.at(back, columns[missed], own_copies[at + rows[missed]])
         for r, c in zip(rows, columns, strict=True):
             i, j = int(own_id[at + r]), int(other_id[c])
@@ -220,11 +223,13 @@ def _in_cells(reps: DataFrame, threshold: float, sample: int) -> DataFrame:
                 first = np.cumsum(times) - times
                 home = np.repeat(own, times)
                 home[first] = -1
-                lists: list = [None] * len(cells)
-                for k, g in zip(first, goes, strict=True):
-                    lists[k] = g.tolist()
+                sizes = np.zeros(len(cells), np.int64)
+                sizes[first] = times - 1
+                absent = np.ones(len(cells), bool)
+                absent[first] = False
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.delete(cells, first).astype(np.int32)), mask=pa.array(absent))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(lists, pa.list_(pa.int32())), *(batch.column(k).take(take) for k in range(3))], names=["cell", "home", "goes", "rep", "copies", "v"]
+                    [pa.array(cells.astype(np.int32)), pa.array(home.astype(np.int32)), lists, *(batch.column(k).take(take) for k in range(3))], names=["cell", "home", "goes", "rep", "copies", "v"]
                 )
 
     placed = reps.select("rep", "copies", "v").mapInArrow(assign, f"cell int, home int, goes array<int>, rep bigint, copies bigint, v {reps.schema['v'].dataType.simpleString()}")
@@ -245,7 +250,8 @@ def _compare(placed: DataFrame, threshold: float) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         mine = group["own"].to_numpy()
         x, ids, copies = unit(_rows(group, "v")), group["rep"].to_numpy(), group["copies"].to_numpy()
-        goes = [np.array(g, np.int64) for g in group["goes"].to_pylist() if g is not None]
+        lists = group["goes"].combine_chunks().drop_null()
+        goes = (lists.value_lengths().to_numpy(), lists.flatten().to_numpy().astype(np.int64))
         counts, back, forest = compare_block(x[mine], ids[mine], copies[mine], goes, x[~mine], ids[~mine], copies[~mine], group["home"].to_numpy()[~mine], threshold)
         all_ids, all_counts = np.concatenate([ids[mine], ids[~mine]]), np.concatenate([counts, back])
         have = np.flatnonzero(all_counts)
