@@ -133,7 +133,7 @@ def test_store_and_stream(spark, tmp_path):
     batches = [[json.dumps(item("a", "1")), "{broken"], [json.dumps(item("a", "2")), json.dumps(item("b", "3")), json.dumps({"url": "c"})]]
     for k, bodies in enumerate(batches):
         (topic / f"{k}.json").write_text("\n".join(json.dumps({"routing_key": "news.raw.rss", "body": b}) for b in bodies))
-    store = SnapshotStore(spark, f"file://{tmp_path}/news")
+    store = SnapshotStore(spark, f"file://{tmp_path}/news", "url", parts=4)
     for _ in range(2):  # the second run finds nothing new
         streaming.ingest(spark, str(topic), store, f"file://{tmp_path}/dead", f"file://{tmp_path}/checkpoint").awaitTermination()
     got = sorted((r.url, r.title) for r in store.read().collect())
@@ -142,6 +142,56 @@ def test_store_and_stream(spark, tmp_path):
     assert store.read(1).count() < store.version() + 2
 
 
+def test_store_survives_a_crash_at_every_step(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(f"u{k}", k) for k in ids], "url string, n int")
+    store = SnapshotStore(spark, f"file://{tmp_path}/t", "url", parts=4, compact_after=3)
+    assert store.version() is None
+    assert store.commit(rows(1, 2)) == 1 and store.add_new(rows(2, 3, 3)) == 2
+    assert sorted(r.n for r in store.read().collect()) == [1, 2, 3]
+    # A write that died before it began, half-way, and before its last step.
+    for n, (name, files) in enumerate([("base", []), ("delta", ["part-0.parquet"]), ("base", ["_temporary"])], 3):
+        (tmp_path / "t" / f"{name}={n}").mkdir()
+        for f in files:
+            (tmp_path / "t" / f"{name}={n}" / f).write_text("half")
+        assert store.version() == 2
+        assert sorted(r.n for r in store.read().collect()) == [1, 2, 3]
+    assert store.add_new(rows(3, 4)) == 6  # numbers of failed writes are not used again
+    assert sorted(r.n for r in store.read().collect()) == [1, 2, 3, 4] and store.add_new(rows(4)) == 6
+    assert store.add_new(rows(4, 5)) == 8  # the fourth folder was folded into a base
+    assert sorted(r.n for r in store.read(2).collect()) == [1, 2, 3] and sorted(r.n for r in store.read().collect()) == [1, 2, 3, 4, 5]
+    store.drop_before(8)
+    assert sorted(r.n for r in store.read().collect()) == [1, 2, 3, 4, 5] and not (tmp_path / "t" / "base=1").exists()
+
+
+def test_cluster_scores_in_blocks(spark):
+    import numpy as np
+
+    from tidewire.operators.dedup import cluster_scores
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows = [(k, datetime(2024, 1, 1 + k % 9, k % 24, 30), x[k].tolist(), k % 7 if k % 3 else None) for k in range(90)]
+    table = spark.createDataFrame(rows, "id bigint, event_time timestamp_ntz, unit array<double>, event_cluster_id bigint")
+    pool = table.where("event_cluster_id IS NOT NULL")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if b[3] is not None and a[0] != b[0] and abs((a[1] - b[1]).total_seconds()) <= 3 * 86_400:
+                want[a[0], b[3]] = max(want.get((a[0], b[3]), -2), float(np.dot(a[2], b[2])))
+    for block in (2048, 4):
+        got = {(r.query_id, r.cluster_id): r.score for r in cluster_scores(table, pool, block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_numbers_in_order(spark):
+    from tidewire.operators.dedup import numbered_in_order
+
+    rows = [(k, datetime(2024, 1, 1, k * 7 % 5, k % 3, k % 2) if k % 11 else None) for k in range(60)]
+    got = {r.id: r.at for r in numbered_in_order(spark.createDataFrame(rows, "id bigint, event_time timestamp_ntz")).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])))}
+
+
 def test_micro_batches(spark):
     rows = [(1, k, datetime(2024, 1, 1, 0, 0, k)) for k in range(5)] + [(1, 5, datetime(2024, 1, 1, 0, 5, 0))]
     got = bus.micro_batches(spark.createDataFrame(rows, "k bigint, o bigint, t timestamp"), "k", "t", "o", items=3, seconds=60).orderBy("o").collect()

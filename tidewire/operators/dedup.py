@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ WINDOW_DAYS, TOP_K, MIN_SCORE, VETO_UNCERTAIN = 3, 6, 0.16, True
 #: Stand-in for the pair model: borders of its verdicts on the cosine.
 SAME_FROM, DIFFERENT_BELOW = 0.30, 0.25
 BATCH = 100
+#: Rows of either side in one block of cosines.
+BLOCK = 2048
 
 
 def event_time() -> Column:
@@ -49,26 +53,57 @@ def vectors(news: DataFrame, state: DataFrame) -> DataFrame:
     return known.join(times, "id")
 
 
-def pair_scores(queries: DataFrame, pool: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """``query_id, id, cluster_id, score`` of all pairs inside the window.
+def cluster_scores(queries: DataFrame, pool: DataFrame, window_days: int = WINDOW_DAYS, block: int = BLOCK) -> DataFrame:
+    """``query_id, cluster_id, score``: the best cosine of each query with a cluster's members inside the window.
 
     ``queries``: id, event_time, unit; ``pool``: also event_cluster_id. The time
     condition becomes an equality on windows-long buckets (each query meets its own
-    and both neighbours), so the join shuffles by bucket instead of nesting loops.
+    and both neighbours). A bucket's rows are dealt to blocks by a hash, the pool's
+    to as many as its size asks for, and each pair of blocks is one matrix product
+    that returns the best score by query and cluster only: a hot day is many tasks of
+    bounded size.
     """
     width = window_days * 86_400
+    seconds = F.unix_micros(F.col("event_time").cast("timestamp"))
     bucket = F.floor(F.unix_timestamp(F.col("event_time").cast("timestamp")) / width)
-    asked = queries.select(F.col("id").alias("query_id"), F.col("event_time").alias("query_time"), F.col("unit").alias("query_unit"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    there = pool.select("id", "event_time", "unit", F.coalesce("event_cluster_id", "id").alias("cluster_id"), bucket.alias("bucket"))
-    span = F.expr(f"INTERVAL '{window_days}' DAY")
-    near = asked.join(there, "bucket").where((F.col("id") != F.col("query_id")) & F.col("event_time").between(F.col("query_time") - span, F.col("query_time") + span))
-    dot = F.aggregate(F.zip_with("query_unit", "unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return near.select("query_id", "id", "cluster_id", dot.alias("score"))
-
-
-def top_clusters(pairs: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
+    asked = queries.select("id", seconds.alias("at"), F.col("unit"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), F.lit(None).cast("bigint").alias("cluster"))
+    there = pool.select("id", seconds.alias("at"), "unit", bucket.alias("bucket"), F.coalesce("event_cluster_id", "id").cast("bigint").alias("cluster"))
+    blocks = lambda rows, name: rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    grid = blocks(asked, "rows").join(blocks(there, "columns"), "bucket")  # one row per window of time
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = asked.join(grid, "bucket").withColumn("i", own("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    right = there.join(grid, "bucket").withColumn("j", own("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    dealt = ["bucket", "i", "j", "id", "at", "cluster", "unit"]
+    limit = width * 1_000_000
+
+    def best(group: pa.Table) -> pa.Table:
+        is_query = np.asarray(group["cluster"].is_null())
+        unit = np.asarray(group["unit"].combine_chunks().flatten(), np.float64).reshape(group.num_rows, -1)
+        ids, at = group["id"].to_numpy(), group["at"].to_numpy()
+        q, p = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        names, cluster = np.unique(group["cluster"].drop_null().to_numpy(), return_inverse=True)
+        order = np.argsort(cluster, kind="stable")
+        starts = np.searchsorted(cluster[order], np.arange(len(names)))
+        p = p[order]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for from_ in range(0, len(q), 256) if len(p) else ():
+            some = q[from_ : from_ + 256]
+            score = unit[some] @ unit[p].T
+            score[(np.abs(at[some, None] - at[None, p]) > limit) | (ids[some, None] == ids[None, p])] = -np.inf
+            top = np.maximum.reduceat(score, starts, axis=1)
+            rows, columns = np.nonzero(np.isfinite(top))
+            out.append((ids[some[rows]], names[columns], top[rows, columns]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({"query_id": pa.array(parts[0], pa.int64()), "cluster_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+
+    both = left.select(*dealt).unionByName(right.select(*dealt)).withColumn("id", F.col("id").cast("bigint"))
+    found = both.groupBy("bucket", "i", "j").applyInArrow(best, "query_id bigint, cluster_id bigint, score double")
+    return found.groupBy("query_id", "cluster_id").agg(F.max("score").alias("score"))
+
+
+def top_clusters(scores: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
     """Best score per query and cluster, at least ``min_score``, the first ``top_k`` by score (then cluster)."""
-    best = pairs.groupBy("query_id", "cluster_id").agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
+    best = scores.groupBy("query_id", "cluster_id").agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "cluster_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
@@ -124,29 +159,35 @@ def choose_clusters(plans: list[tuple[int, list[tuple[int, str]]]], veto: bool =
     return chosen
 
 
-def greedy_clusters(news: DataFrame, state: DataFrame, batch: int = BATCH, decide=stand_in_decision, veto: bool = VETO_UNCERTAIN) -> DataFrame:
+def numbered_in_order(items: DataFrame) -> DataFrame:
+    """``items`` with ``at``, their place by ``(event_time, id)`` from 0: places within a minute, and what comes before each minute."""
+    minute = F.unix_timestamp(F.date_trunc("minute", F.col("event_time").cast("timestamp")))
+    stamped = items.withColumn("__minute", F.coalesce(minute, F.lit(-(1 << 62))))  # no time sorts first
+    counts = stamped.groupBy("__minute").agg(F.count("*").alias("__n"))  # one narrow row per minute from here on
+    before = counts.select("__minute", F.coalesce(F.sum("__n").over(Window.orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__minute").orderBy("event_time", "id"))
+    return stamped.join(before, "__minute").withColumn("at", F.col("__before") + inside - 1).drop("__minute", "__before")
+
+
+def greedy_clusters(news: DataFrame, state: DataFrame, batch: int = BATCH, decide=stand_in_decision, veto: bool = VETO_UNCERTAIN, window_days: int = WINDOW_DAYS) -> DataFrame:
     """``id, cluster_id`` of every pending item, batch by batch in event order.
 
-    Pair scores and verdicts are computed in parallel; only the order-dependent
+    Scores and verdicts are computed in parallel, against assigned items by time
+    window and against earlier items of the own batch; only the order-dependent
     choice is a fold, over one batch (at most ``batch`` items) at a time.
     """
-    waiting = pending(news, state)
-    order = Window.orderBy("event_time", "id")
-    placed = waiting.select("id", "event_time", "primary_event_found").withColumn("at", F.row_number().over(order) - 1).withColumn("batch", F.floor(F.col("at") / batch))
-    all_vectors = vectors(news, state)
-    asked = placed.where("primary_event_found").join(all_vectors.select("id", "unit"), "id")
-    pairs = pair_scores(asked, all_vectors)
-    where = placed.select("id", "at", "batch")
-    stored = all_vectors.select("id", F.col("event_cluster_id").isNotNull().alias("assigned"))
-    usable = (
-        pairs.join(stored, "id")
-        .join(where.select(F.col("id").alias("query_id"), F.col("at").alias("query_at"), F.col("batch").alias("query_batch")), "query_id")
-        .join(where, "id", "left")
-        .where("assigned OR (batch = query_batch AND at < query_at)")
-    )
-    candidates = top_clusters(usable.select("query_id", "cluster_id", "score")).withColumn("verdict", decide(F.col("score")))
+    waiting = pending(news, state).select("id", "event_time", "primary_event_found", l2_normalize(F.col("embedding")).alias("unit"))
+    placed = numbered_in_order(waiting).withColumn("batch", F.floor(F.col("at") / batch))
+    asked = placed.where("primary_event_found")
+    with_assigned = cluster_scores(asked.select("id", "event_time", "unit"), vectors(news, state).where("event_cluster_id IS NOT NULL"), window_days)
+    earlier = placed.select(F.col("id").alias("cluster_id"), F.col("event_time").alias("__time"), F.col("unit").alias("__unit"), F.col("at").alias("__at"), "batch")
+    span = F.expr(f"INTERVAL '{window_days}' DAY")
+    same_batch = asked.join(earlier, "batch").where((F.col("__at") < F.col("at")) & F.col("__time").between(F.col("event_time") - span, F.col("event_time") + span))
+    dot = F.aggregate(F.zip_with("unit", "__unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scores = with_assigned.unionByName(same_batch.select(F.col("id").alias("query_id"), "cluster_id", dot.alias("score")))
+    candidates = top_clusters(scores).withColumn("verdict", decide(F.col("score")))
     lists = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "cluster_id", "verdict"))).alias("candidates"))  # at most TOP_K
-    plan = where.join(lists, where.id == lists.query_id, "left").select("id", "at", "batch", "candidates")
+    plan = placed.join(lists, placed.id == lists.query_id, "left").select("id", "at", "batch", "candidates")
 
     def fold(items: pd.DataFrame) -> pd.DataFrame:
         rows = items.sort_values("at")

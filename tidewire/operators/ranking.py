@@ -15,14 +15,15 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = scoring.BM25_K1, b:
     Statistics cover the given corpus only; a repeated query term counts repeatedly.
     """
     words = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("length"), F.explode_outer("t").alias("term"))
-    totals = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean")).first()
-    n, mean = totals.n, totals.mean or 0.0
+    lengths = corpus.select(F.size(tokens(F.col("text"))).alias("length"))
+    totals = lengths.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))  # one row
     tf = words.where("term IS NOT NULL").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ratio = F.col("length") / mean if mean else F.lit(0.0)
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    ratio = F.coalesce(F.try_divide("length", "mean"), F.lit(0.0))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * ratio))
+    df = df.join(F.broadcast(totals))  # one row for every term
     return asked.join(df, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 

@@ -57,26 +57,26 @@ def pending(spark, sf):
     return op.pending(*_news_state(spark, sf)).select("id", "event_time", "primary_event_found")
 
 
-def _pairs(spark, sf):
+def _scores(spark, sf):
     known = op.vectors(*_news_state(spark, sf))
-    return op.pair_scores(known, known.where("event_cluster_id IS NOT NULL"))
+    return op.cluster_scores(known, known.where("event_cluster_id IS NOT NULL"))
 
 
 @query(f"{_BASE},\n{_CANDIDATES} SELECT query_id, cluster_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM candidates")
 def candidate_scores(spark, sf):
-    return op.top_clusters(_pairs(spark, sf)).select("query_id", "cluster_id", F.round("score", 6).alias("score"), "rank")
+    return op.top_clusters(_scores(spark, sf)).select("query_id", "cluster_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""{_BASE},\n{_CANDIDATES} SELECT query_id, cluster_id,
 CASE WHEN score >= 0.30 THEN 'SAME' WHEN score < 0.25 THEN 'DIFFERENT' ELSE 'UNCERTAIN' END AS verdict FROM candidates""")
 def pair_decisions(spark, sf):
-    return op.top_clusters(_pairs(spark, sf)).select("query_id", "cluster_id", op.stand_in_decision(F.col("score")).alias("verdict"))
+    return op.top_clusters(_scores(spark, sf)).select("query_id", "cluster_id", op.stand_in_decision(F.col("score")).alias("verdict"))
 
 
 @query(f"""{_BASE},\n{_CANDIDATES} SELECT query_id, CASE WHEN bool_and(score >= 0.30) THEN 'SAME' WHEN bool_or(score < 0.25) THEN 'DIFFERENT' ELSE 'UNCERTAIN' END AS decision
 FROM candidates GROUP BY query_id""")
 def combine_decisions(spark, sf):
-    verdicts = op.top_clusters(_pairs(spark, sf)).withColumn("verdict", op.stand_in_decision(F.col("score")))
+    verdicts = op.top_clusters(_scores(spark, sf)).withColumn("verdict", op.stand_in_decision(F.col("score")))
     return verdicts.groupBy("query_id").agg(scoring.combine_decisions(F.col("verdict")).alias("decision"))
 
 

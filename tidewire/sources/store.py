@@ -1,48 +1,101 @@
-"""Versioned Parquet snapshots: a table is ``<root>/v=<n>/`` and a pointer file; readers pin a version.
+"""Versioned Parquet tables: ``<root>/base=<n>`` holds a whole table, ``<root>/delta=<n>`` rows added to it.
 
-All paths go through Spark's file systems, so any store that Spark reads will do.
+A version exists once Spark's committer has put ``_SUCCESS`` into its folder, the
+last thing that a write does; there is no pointer to move. A write that dies leaves
+a folder without it, which readers skip and no later write reuses. With a ``key``
+the rows are laid out by the key's hash, so adding a batch reads the keys of the
+batch's parts only, and writes nothing but its new rows. All paths go through
+Spark's file systems, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+PART = "__part"
 
 
 class SnapshotStore:
     """One writer at a time; readers are never disturbed."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, key: str | None = None, parts: int = 256, compact_after: int = 50):
+        self.spark, self.root, self.key, self.parts, self.compact_after = spark, root.rstrip("/"), key, parts, compact_after
         self._paths = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._paths(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _folders(self) -> list[tuple[int, str, bool]]:
+        """(number, kind, complete) of every version's folder."""
+        root = self._paths(self.root)
+        if not self._fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
+        found = [(m, name) for name in names if (m := re.fullmatch(r"(base|delta)=(\d+)", name))]
+        return sorted((int(m[2]), m[1], self._fs.exists(self._paths(f"{self.root}/{name}/_SUCCESS"))) for m, name in found)
+
     def version(self) -> int | None:
-        """The committed version, None before the first commit."""
-        pointer = self._paths(f"{self.root}/CURRENT")
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first().value) if self._fs.exists(pointer) else None
+        """The last committed version, None before the first commit."""
+        return max((n for n, _, complete in self._folders() if complete), default=None)
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def _chain(self, version: int) -> list[str]:
+        """The folders of a version: its last base and what was added since."""
+        done = [(n, kind) for n, kind, complete in self._folders() if complete and n <= version]
+        if version not in [n for n, _ in done]:
+            raise FileNotFoundError(f"{self.root} has no committed version {version}")
+        start = max((n for n, kind in done if kind == "base"), default=0)
+        return [f"{self.root}/{kind}={n}" for n, kind in done if n >= start]
+
+    def _read(self, version: int | None) -> DataFrame:
         at = self.version() if version is None else version
         if at is None:
             raise FileNotFoundError(f"{self.root} has no committed version")
-        return self.spark.read.parquet(f"{self.root}/v={at}")
+        frames = [self.spark.read.parquet(p) for p in self._chain(at)]
+        out = frames[0]
+        for more in frames[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._read(version).drop(PART)
+
+    def _write(self, table: DataFrame, kind: str) -> int:
+        after = max((n for n, _, _ in self._folders()), default=0) + 1  # a failed write's number is not used again
+        laid_out = table if self.key is None else table.withColumn(PART, self._part())
+        writer = laid_out.write.mode("error")
+        if self.key is not None and not table.isEmpty():  # without rows there would be no file that tells the columns
+            writer = laid_out.repartition(PART).write.mode("error").partitionBy(PART)
+        writer.parquet(f"{self.root}/{kind}={after}")
+        return after
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.parts)).cast("int")
 
     def commit(self, table: DataFrame) -> int:
-        """Writes the next version, then moves the pointer by a rename."""
-        after = (self.version() or 0) + 1
-        table.write.mode("overwrite").parquet(f"{self.root}/v={after}")
-        staged = self._paths(f"{self.root}/.{uuid.uuid4().hex}")
-        out = self._fs.create(staged)
-        out.write(bytearray(str(after).encode()))
-        out.close()
-        pointer = self._paths(f"{self.root}/CURRENT")
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(staged, pointer):
-            raise OSError(f"the pointer of {self.root} was not moved")
+        """Writes the whole table as the next version."""
+        return self._write(table, "base")
+
+    def add_new(self, rows: DataFrame, *order: Column) -> int:
+        """Adds the rows whose key is not stored yet, the first one of each key by ``order``; the version after that. Running it again adds nothing."""
+        if self.key is None:
+            raise ValueError("adding rows asks for a key")
+        first = F.row_number().over(Window.partitionBy(self.key).orderBy(*(order or (F.lit(1),))))
+        once = rows.where(F.col(self.key).isNotNull()).withColumn("__n", first).where("__n = 1").drop("__n")
+        if self.version() is not None:
+            touched = [r[0] for r in rows.select(self._part()).distinct().collect()]  # ``parts`` numbers at most
+            known = self._read(None).where(F.col(PART).isin(touched)).select(self.key)
+            once = once.join(known, self.key, "left_anti").select(*rows.columns)
+            if once.isEmpty():
+                return self.version()
+        after = self._write(once, "delta")
+        if len(self._chain(after)) > self.compact_after:
+            after = self._write(self.read(after), "base")
         return after
 
     def drop_before(self, version: int) -> None:
-        for k in range(1, version):
-            self._fs.delete(self._paths(f"{self.root}/v={k}"), True)
+        """Deletes folders that neither ``version`` nor a later one reads."""
+        kept = {p.rsplit("=", 1)[1] for p in self._chain(version)}
+        for n, kind, _ in self._folders():
+            if n < version and str(n) not in kept:
+                self._fs.delete(self._paths(f"{self.root}/{kind}={n}"), True)

@@ -1,8 +1,9 @@
 """Structured Streaming ingest: messages to news records, exactly once per url, dead letters aside.
 
-``foreachBatch`` commits a snapshot before its checkpoint advances; a failed or
-repeated batch is read again and changes nothing that is stored (inserts ignore
-known urls). Delivery dedupe inside the stream keeps its state bounded by a
+``foreachBatch`` adds a batch's new rows to the store before its checkpoint advances;
+a failed or repeated batch is read again and changes nothing that is stored (known
+urls are ignored). A batch costs what its own parts of the store hold in urls, not
+the whole history. Delivery dedupe inside the stream keeps its state bounded by a
 watermark, an extension of the batch semantics.
 """
 
@@ -12,20 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.operators.merge import insert_ignore
 from tidewire.sources import bus
 from tidewire.sources.store import SnapshotStore
 
 
 def ingest(spark: SparkSession, topic: str, store: SnapshotStore, dead_letters: str, checkpoint: str, max_files: int = 1) -> StreamingQuery:
-    """Drains a topic folder into the news store (``availableNow``)."""
+    """Drains a topic folder into the news store, which has ``url`` as its key (``availableNow``)."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         valid, rejected = bus.parse(batch, bus.NEWS, bus.REQUIRED)
         rejected.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
-        incoming = valid.drop("routing_key")
-        current = store.read() if store.version() is not None else spark.createDataFrame([], incoming.schema)
-        store.commit(insert_ignore(current, incoming, "url", F.col("published_at").asc_nulls_last(), F.col("title")))
+        store.add_new(valid.drop("routing_key"), F.col("published_at").asc_nulls_last(), F.col("title"))
 
     return bus.read_topic(spark, topic, max_files).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
