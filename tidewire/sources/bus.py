@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,21 +63,31 @@ def write_topic(items: DataFrame, folder: str) -> None:
 def micro_batches(deliveries: DataFrame, key: str, at: str, order: str, items: int = BATCH_ITEMS, seconds: int = BATCH_SECONDS) -> DataFrame:
     """The batch number of every delivery in its queue: a batch closes at ``items``, or before the first delivery later than ``seconds`` after its first.
 
-    The close depends on all deliveries before it, so this is a fold, one queue at
-    a time, over three narrow columns.
+    The close depends on all deliveries before it, so this is a fold over each queue
+    in order. Queues are sorted within partitions and stream through in Arrow
+    batches; only the open batch's count and first time are carried, however long a
+    queue is.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
-        batch, count, first, out = -1, items, None, []
-        for t in rows["t"]:
-            if count >= items or first is None or t - first > seconds:
-                batch, count, first = batch + 1, 0, t
-            count += 1
-            out.append(batch)
-        return pd.DataFrame({"k": rows["k"], "o": rows["o"], "batch": out})
-
-    narrow = deliveries.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("us"))
-    got = narrow.select("k", "o", (F.col("us") / 1e6).alias("t")).groupBy("k").applyInPandas(fold, "k bigint, o bigint, batch bigint")
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_now, batch, count, first = None, -1, 0, 0.0
+        for part in parts:
+            keys, times = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+            out = np.empty(len(keys), np.int64)
+            at = 0
+            while at < len(keys):
+                if keys[at] != key_now or batch < 0 or count >= items or times[at] - first > seconds:
+                    batch = 0 if keys[at] != key_now else batch + 1
+                    key_now, count, first = keys[at], 0, times[at]
+                to = min(len(keys), at + items - count)
+                ends = np.flatnonzero((keys[at:to] != key_now) | (times[at:to] - first > seconds))
+                to = at + int(ends[0]) if len(ends) else to
+                out[at:to] = batch
+                count += to - at
+                at = to
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out)], names=["k", "o", "batch"])
+
+    narrow = deliveries.select(F.col(key).alias("k"), F.col(order).alias("o"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"))
+    schema = T.StructType(narrow.select("k", "o").schema.fields).add("batch", T.LongType())
+    got = narrow.where("k IS NOT NULL AND t IS NOT NULL").repartition("k").sortWithinPartitions("k", "o").mapInArrow(fold, schema)
     return got.select(F.col("k").alias(key), F.col("o").alias(order), "batch")
