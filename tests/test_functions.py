@@ -42,7 +42,7 @@ def test_both_canonical_forms_agree(spark, sf):
 
 def test_identity_of_a_source(spark):
     same = {one(spark, urls.source_identity(F.col("u")), u=u) for u in ("http://WWW.Daily.test/", "http://daily.test", "http://www.daily.TEST/?utm_campaign=z")}
-    assert same == {"http://daily.test/"} or len(same) == 1
+    assert len(same) == 1
     assert one(spark, urls.source_identity(F.col("u")), u="TG://resolve?domain=Some_Channel") == "tg://resolve?domain=some_channel"
 
 
@@ -98,7 +98,7 @@ def test_text(spark):
     assert one(spark, text.hashtags(F.col("t")), t="#мост opens #tram_2 and #мост") == ["мост", "tram_2"]
     assert one(spark, text.word_count(F.col("t")), t="She’d seen a two-way street; да") == 6
     assert one(spark, text.first_sentence(F.col("t")), t="\n Is it so? Yes.") == "Is it so?"
-    assert one(spark, text.strip_html(F.col("t")), t="<i>x</i> &lt; y<br>\n\tz") in ("x < y z", "x < yz")
+    assert one(spark, text.strip_html(F.col("t")), t="<i>x</i> &lt; y<br>\n\tz") == "x < y z"
     assert one(spark, text.unfence_json(F.col("t")), t='Here: ```\n{"k": [1]}\n``` done') == '{"k": [1]}'
     assert {"-old", "+new"} <= set(one(spark, text.text_diff(F.lit("same\nold"), F.lit("same\nnew"))).split("\n"))
 
@@ -122,8 +122,8 @@ def test_printed_dates_match_a_general_parser():
         for print_ in (f"Размещено {day.day} {month} {day.year} в {day:%H:%M}", f"{day.day} {month.upper()} {day.year}, {day:%H:%M} МСК", f"{day:%d.%m.%Y %H:%M}", f"{day:%d.%m.%Y} | {day:%H:%M} MSK"):
             assert dates.parse_printed(print_).replace(tzinfo=None) == day.replace(second=0), print_
     assert dates.parse_printed("7 июня", today=today).date() == datetime(2025, 6, 7).date() and dates.parse_printed("07.06", today=today).day == 7
-    for nothing in (None, "", " \n", "no day at all", "99.99.2024", "31.04.2024", "version 1.2.3.4"):
-        assert dates.parse_printed(nothing) is None or nothing == "version 1.2.3.4"
+    for nothing in (None, "", " \n", "no day at all", "99.99.2024", "31.04.2024"):
+        assert dates.parse_printed(nothing) is None
 
 
 def test_iso_dates_are_moscows(spark):
@@ -146,7 +146,7 @@ def test_date_cascade(spark):
     assert signal(spark, "<time>2020-01-01</time>" + time) == ("2025-02-06", "time_element", 0.88)
     assert signal(spark, "<div><p class=x>as of 9 мая 2025 it was so</p></div>") == (None, None, 0.0)
     near = '<main><h1>Head</h1><p class="posted-on">9 мая 2025</p></main><div class="popular"><time class="published">1 мая 2019</time></div>'
-    assert signal(spark, near) == ("9 мая 2025", "visible_dom", 0.94 if signal(spark, near)[2] == 0.94 else round(0.78 + 0.02 * 10, 2))
+    assert signal(spark, near) == ("9 мая 2025", "visible_dom", 0.94)
     assert one(spark, html.html_metadata(F.col("h")), h=work) == {"schema_type": "BlogPosting", "title": "Named", "jsonld_date_published": "2025-02-03"}
     first = '<html lang="de"><meta name="twitter:title" content="Tags win"><link rel="shortlink canonical" href=" https://x.test/c ">' + work
     assert one(spark, html.html_metadata(F.col("h")), h=first) == {"schema_type": "BlogPosting", "title": "Tags win", "jsonld_date_published": "2025-02-03", "language": "de", "canonical_url": "https://x.test/c"}
@@ -194,5 +194,5 @@ def test_words_of_every_document(spark, tmp_path):
 
     rows = [(1, "plain words here.", 3), (2, None, 0), (3, "", 0), (4, "don't stop; 24-hour e-mail\t№ 7", 5), (5, "cafe\u0301 ok (x_y)", 3), (6, "- ' #tag", 1)]
     spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["word_count_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["word_count"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.words for r in got} == {i: n for i, _, n in rows}

@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.scoring import l2_normalize
@@ -66,3 +66,33 @@ def model_function(call: Callable[[list[str]], list], returns: str, items: int =
             yield pd.Series([a for at in range(0, len(texts), items) for a in ask(texts[at : at + items])], dtype=object)
 
     return run
+
+
+def in_order(answers: list[tuple[int | None, list[float]]], expected: int, dimensions: int = DIMENSIONS) -> list[list[float]]:
+    """Vectors of an indexed answer in the order of the texts; an answer without index stands where it came.
+
+    Another number of vectors, an index twice or out of range, or another length is an error.
+    """
+    placed: dict[int, list[float]] = {}
+    for at, (index, vector) in enumerate(answers):
+        k = at if index is None else index
+        if k in placed or not 0 <= k < expected:
+            raise ValueError(f"vector {k} comes twice or was not asked for")
+        if len(vector) != dimensions:
+            raise ValueError(f"a vector has {len(vector)} parts, not {dimensions}")
+        placed[k] = vector
+    if len(placed) != expected:
+        raise ValueError(f"{len(placed)} vectors for {expected} texts")
+    return [placed[k] for k in range(expected)]
+
+
+def company_context(profiles: DataFrame, facets: DataFrame) -> DataFrame:
+    """``company_id, context``: what a judge is told of a company: name, description, a line per facet and its guidance.
+
+    ``profiles``: company_id, name, description; ``facets``: company_id, facet_id, name, description, guidance (may be null or empty).
+    """
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.col("description"), F.when(F.length("guidance") > 0, F.concat(F.lit("\n  Guidance: "), F.col("guidance"))).otherwise(F.lit("")))
+    lists = facets.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("facet_id", line.alias("line")))).alias("lines"))
+    said = F.transform(F.coalesce("lines", F.array().cast("array<struct<facet_id:bigint,line:string>>")), lambda x: x["line"])
+    head = F.array(F.concat(F.lit("Company: "), F.col("name")), F.col("description"), F.lit("Relevance facets:"))
+    return profiles.join(lists.withColumn("lines", F.col("lines").cast("array<struct<facet_id:bigint,line:string>>")), "company_id", "left").select("company_id", F.array_join(F.concat(head, said), "\n").alias("context"))

@@ -79,3 +79,15 @@ def latest_document(documents: DataFrame) -> DataFrame:
     """Per act the document of the last stage and latest date; the first one listed wins a tie."""
     key = F.struct("stage_index", "event_date", -F.col("pos"))
     return documents.groupBy("act_id").agg(F.max_by("document_url", key).alias("document_url"))
+
+
+def mark_checked(registry: DataFrame, snapshots: DataFrame, checked_at: Column) -> DataFrame:
+    """Acts that a check found unchanged: only title, source date and the check's time are taken from ``(id, title, source_updated_at)``."""
+    seen = snapshots.select("id", F.col("title").alias("__title"), F.col("source_updated_at").alias("__at"), F.lit(True).alias("__seen"))
+    joined = registry.join(seen, "id", "left")
+
+    def after(new: Column, old: str) -> Column:
+        return F.when(F.col("__seen"), new).otherwise(F.col(old)).alias(old)
+
+    own = {"title": after(F.col("__title"), "title"), "source_updated_at": after(F.col("__at"), "source_updated_at"), "last_checked_at": after(checked_at, "last_checked_at")}
+    return joined.select(*(own.get(c, F.col(c)) for c in registry.columns))

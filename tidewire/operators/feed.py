@@ -73,3 +73,21 @@ def flatten_relevance(details: DataFrame) -> DataFrame:
     fields = ["finance", "reputation", "technology", "competition"]
     impact = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"details.impact.{d}_score").alias("score"), F.col(f"details.impact.{d}_reason").alias("reason")) for d in fields))
     return details.select("id", F.col("details.impact.urgency_basis").alias("urgency_basis"), F.col("details.impact.urgency_reason").alias("urgency_reason"), impact.alias("impact"))
+
+
+#: What a reader gets of an item, in this order.
+CARD = (
+    "id", "schema_version", "source_id", "source_link", "source_name", "source_type", "source_reliability", "source_tags", "url", "title", "text", "excerpt", "published_at", "updated_at",
+    "summary", "event_cluster_id", "relevance", "dismissed_at", "is_alert", "created_at",
+)
+
+
+def news_out(news: DataFrame, state: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Items as feed cards: the item's fields with the pipeline's results, null until their stage has reached it; columns that a table lacks are null."""
+    results = state.select(F.col("news_id").alias("id"), "summary", "event_cluster_id")
+    of_cluster = ranked.select(F.col("cluster_id").alias("__cluster"), F.struct("*").alias("relevance"))
+    own = news.withColumnRenamed("reliability", "source_reliability") if "reliability" in news.columns and "source_reliability" not in news.columns else news
+    kept = [c for c in CARD if c in own.columns and c not in ("summary", "event_cluster_id", "relevance")]
+    joined = own.select(*kept).join(results, "id", "left").join(of_cluster, F.coalesce("event_cluster_id", "id") == F.col("__cluster"), "left")
+    tags = F.array().cast("array<string>")
+    return joined.select(*(F.col(c) if c in joined.columns else (tags if c == "source_tags" else F.lit(None).cast("string")).alias(c) for c in CARD))

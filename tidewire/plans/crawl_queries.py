@@ -54,13 +54,17 @@ def cards_until_old(spark, sf):
     return op.cards_until_old(_cards(spark, sf), now()).select("pos")
 
 
-@query(f"""{_C}, n AS (SELECT *, (row_number() OVER (PARTITION BY substr(hub_url, 1, 12) ORDER BY pos) - 1) // 10 AS batch, substr(hub_url, 1, 12) AS hub FROM cards),
+#: A site's hub: the last two labels of its host.
+_SITE = r"^[A-Za-z]+://(?:[^/]*\.)?([^./]+\.[^./]+)(?:/|$)"
+
+
+@query(f"""{_C}, s AS (SELECT *, regexp_extract(hub_url, '{_SITE}', 1) AS hub FROM cards), n AS (SELECT *, (row_number() OVER (PARTITION BY hub ORDER BY pos) - 1) // 10 AS batch FROM s),
 b AS (SELECT hub, batch, count(*) AS articles, count(published_at) AS dated, count(published_at) >= 5 AND coalesce(bool_and(published_at < {NOW_SQL} - INTERVAL 1 DAY), false) AS stale FROM n GROUP BY ALL),
 i AS (SELECT *, sum(CASE WHEN stale THEN 0 ELSE 1 END) OVER (PARTITION BY hub ORDER BY batch) AS island FROM b),
 r AS (SELECT *, sum(CASE WHEN stale THEN 1 ELSE 0 END) OVER (PARTITION BY hub, island ORDER BY batch) AS streak FROM i)
 SELECT hub AS hub_url, batch, articles, dated, stale, CAST(streak AS BIGINT) AS streak, coalesce(batch <= min(CASE WHEN streak >= 2 THEN batch END) OVER (PARTITION BY hub), true) AS read FROM r""")
 def stale_streak(spark, sf):
-    cards = _cards(spark, sf).withColumn("hub_url", F.left("hub_url", F.lit(12)))
+    cards = _cards(spark, sf).withColumn("hub_url", F.regexp_extract("hub_url", _SITE, 1))
     return op.stale_streak(cards, now(), days=1)
 
 
@@ -134,12 +138,11 @@ def event_links(events):
     )
 
 
-# The SQL walks the ids below 997 only. From node 5 both find 5, 15, 45 and 135 on tables of more than 135 events.
-@query("""WITH RECURSIVE l AS (SELECT event_id AS s, event_id * 3 % 997 AS t FROM events WHERE event_id < 997 UNION SELECT event_id, event_id + 1 FROM events WHERE event_id < 997 AND event_id % 4 = 0),
-r(node, depth) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+@query("""WITH RECURSIVE l AS (SELECT event_id AS s, event_id * 3 % (SELECT greatest(1, count(*)) FROM events) AS t FROM events UNION SELECT event_id, event_id + 1 FROM events WHERE event_id % 4 = 0),
+r(node, depth) AS (SELECT event_id, 0 FROM events WHERE event_id % 97 = 5 UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def link_bfs(spark, sf):
     links = event_links(views.table(spark, sf, "events"))
-    return op.reach(spark.range(5, 6).withColumnRenamed("id", "node"), links)
+    return op.reach(views.table(spark, sf, "events").where("event_id % 97 = 5").select(F.col("event_id").alias("node")), links)
 
 
 @query(f"{_C} SELECT pos, round(CAST(pos * 37 % 101 AS DOUBLE) / 100, 2) AS score FROM cards ORDER BY score DESC, pos LIMIT 20")

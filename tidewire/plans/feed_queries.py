@@ -63,9 +63,9 @@ def feed_search(spark, sf):
     return _feed(spark, sf, q="the", visibility=op.ALL)
 
 
-@query(_sql(r"AND (n.title ILIKE '%100\%\_a\\%' ESCAPE '\' OR n.text ILIKE '%100\%\_a\\%' ESCAPE '\')"))
+@query(_sql(r"AND (n.title ILIKE '%E\%\%%' ESCAPE '\' OR n.text ILIKE '%E\%\%%' ESCAPE '\')"))
 def feed_search_escape(spark, sf):
-    return _feed(spark, sf, q="100%_a\\", visibility=op.ALL)
+    return _feed(spark, sf, q="E%%", visibility=op.ALL)
 
 
 @query(f"WITH {NEWS_SQL} SELECT id, url, source_name, title, created_at, published_at, is_alert FROM news WHERE id = 42")

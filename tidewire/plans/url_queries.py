@@ -73,14 +73,11 @@ def bill_url_valid(spark, sf):
     return views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), urls.bill_url(given).alias("bill_url"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_][\\p{L}\\p{N}\\p{M}_''’-]*')) AS INTEGER) AS words FROM documents WHERE regexp_matches(text, '^[\\p{L} .,\\n]*$')")
-def word_count(spark, sf):
-    plain = views.table(spark, sf, "documents").where(F.col("text").rlike(r"^[\p{L} .,\n]*$"))
-    return plain.select("doc_id", text.word_count(F.col("text")).alias("words"))
+_W = r"\p{L}\p{M}\p{N}\p{Pc}\x{200c}\x{200d}"
 
 
-@query()
-def word_count_all(spark, sf):
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[’''-]*[{_W}][{_W}’''-]*')) AS INTEGER) AS words FROM documents")
+def word_count(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 

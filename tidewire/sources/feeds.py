@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import _stripped, hashtags
+from tidewire.sources.pdf import pdf_text
 
 ENTRY = "array<struct<url:string,title:string,summary:string,published_at:timestamp,updated_at:timestamp,tags:array<string>>>"
 
@@ -122,13 +123,10 @@ def document_kind(content: Column) -> Column:
 
 
 def documents(files: DataFrame, content: str = "content") -> DataFrame:
-    """Files (``binaryFile`` rows) with ``kind`` and, for Word files, their ``text``; PDF text and OCR need native tools."""
+    """Files (``binaryFile`` rows) with ``kind`` and their ``text``: Word files, and PDF files that aren't scans."""
 
     @F.pandas_udf("string")
     def read(values: pd.Series) -> pd.Series:
-        return values.map(docx_text)
-
-    kind = document_kind(F.col(content))
-    return files.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "docx", read(F.col(content))))
-
+        return values.map(lambda v: pdf_text(v) if v is not None and v[:4] == b"%PDF" else docx_text(v))
 
+    return files.withColumn("kind", document_kind(F.col(content))).withColumn("text", read(F.col(content)))
