@@ -63,9 +63,15 @@ def feed_search(spark, sf):
     return _feed(spark, sf, q="the", visibility=op.ALL)
 
 
-@query(_sql(r"AND (n.title ILIKE '%E\%\%%' ESCAPE '\' OR n.text ILIKE '%E\%\%%' ESCAPE '\')"))
+#: Texts that hold LIKE's wildcards as they are, and texts that only match where these count as wildcards.
+_MARKED = ("at 100%_A\\ of it", "at 100 and xA\\ of it", "at 100%_A of it")
+_MARKED_SQL = f"[{', '.join(repr(m).replace(chr(92) * 2, chr(92)) for m in _MARKED)}][n.id % 3 + 1]"
+
+
+@query(_sql(rf"AND (n.title ILIKE '%100\%\_a\\%' ESCAPE '\' OR {_MARKED_SQL} ILIKE '%100\%\_a\\%' ESCAPE '\')"))
 def feed_search_escape(spark, sf):
-    return _feed(spark, sf, q="E%%", visibility=op.ALL)
+    news = views.news(spark, sf).withColumn("text", F.get(F.array(*map(F.lit, _MARKED)), (F.col("id") % 3).cast("int")))
+    return op.feed(news, views.event_state(spark, sf), views.ranking(spark, sf), op.FeedQuery(q="100%_a\\", visibility=op.ALL)).select(*_COLUMNS)
 
 
 @query(f"WITH {NEWS_SQL} SELECT id, url, source_name, title, created_at, published_at, is_alert FROM news WHERE id = 42")
