@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, html, lines, mixing, ngrams, outliers, quality, spans, urls, vectors
+from tidewire.llm import bpe, collocations, html, lines, mixing, ngrams, outliers, quality, records, spans, urls, vectors, whitening
 from tidewire.llm._store import materialise, table
 
 
@@ -63,6 +63,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.col("n_chars"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_jaccard_join, op2_bpe, op3_quality_classifier, op4_quality_rules, op5_embedding_near_dedup,
-        op6_line_dedup, op7_url_filters, op8_substring_dedup, op9_mixing, op10_html_extraction, pipeline,
+        op6_line_dedup, op7_url_filters, op8_substring_dedup, op9_mixing, op10_html_extraction,
+        op11_collocations, op12_whitening, op13_records, pipeline,
     ]
     return {f.__name__: f for f in found}
 
@@ -86,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": urls.ORACLE,
         "op8_substring_dedup": spans.ORACLE,
         "op9_mixing": mixing.ORACLE,
+        "op11_collocations": collocations.ORACLE,
     }
