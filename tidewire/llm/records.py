@@ -15,6 +15,10 @@ own; the commit on the driver lists those of the attempts that counted, so lost
 executors and repeated tasks leave at most files that nobody lists. Places come
 from the ranges' totals, one row a file.
 
+Encoding is the tokenizers library's: its byte-pair model is asked for every distinct
+word of a task, and texts of plain letters and signs are cut to words as its splitter
+does. All other texts take the way of ``bpe.Codec``.
+
 Order. Ascending ids; a null id stands where the smallest long does. Rows of one id
 follow a hash of their place in the input's files, and an id with many rows is
 spread over as many ranges as its share asks for. Null and empty texts are
@@ -26,6 +30,7 @@ text are not read. Paths are those that pyarrow opens (file, hdfs, s3, gs, abfs)
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
 import re
 import struct
@@ -41,7 +46,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tidewire.llm._store import numbered, release, shared_dir, ship
-from tidewire.llm.bpe import _shared_file, codec
+from tidewire.llm.bpe import PLAIN_WORDS, Codec, Memory, _shared_file
 
 FORMAT = "tidewire_records"
 END_ID = 1
@@ -278,6 +283,47 @@ class RecordsSource(DataSource):
 SMALLEST = -(2**63)
 
 
+#: Texts that are cut as a whole, and their words (see ``bpe.PLAIN``: the same characters, and blanks).
+PLAIN_TEXT = re.compile("[ \t\r\n!-~À-ÖØ-öø-ÿ]*")
+PLAIN_FIND = re.compile(PLAIN_WORDS.pattern.replace("0-9]+", "0-9 \t\r\n]+"))
+
+
+class WordCodec(Codec):
+    """Encodes with the library's own model, word by word."""
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(file)
+        self.model = Tokenizer.from_str(file).model
+        self.words = Memory(self.word)
+        self.plain = Memory(lambda word: self.word(word.translate(self.symbols)))
+
+    def word(self, symbols: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(symbols)], self.kind).tobytes()
+
+    def forget(self) -> None:
+        super().forget()
+        self.plain.old = {}
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text or not self.restated or any(c in text for c in self.heads) or not PLAIN_TEXT.fullmatch(text):
+            return super().encode(text)
+        return np.frombuffer(b"".join(map(self.plain.__getitem__, PLAIN_FIND.findall(text.lower()))), self.kind)
+
+
+_CODECS: dict[str, WordCodec] = {}
+
+
+def codec(file: str) -> WordCodec:
+    """The codec of a tokenizer file, built once a Python worker."""
+    key = hashlib.sha256(file.encode()).hexdigest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = WordCodec(file)
+    return _CODECS[key]
+
+
 def encode_ordered(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """``doc_id, tie, tokens`` (packed ids with the end id) dealt by ranges of ids and sorted, and the bytes of a token."""
     spark = docs.sparkSession
