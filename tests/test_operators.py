@@ -212,35 +212,6 @@ def test_micro_batches(spark):
     assert {r.o: r.batch for r in got} == want
 
 
-def test_greedy_clusters_match_the_rule_by_hand(spark):
-    """Items in order; candidates are assigned items and earlier ones of the batch within three days, best six by cosine."""
-    import numpy as np
-
-    from tidewire.operators.dedup import choose_clusters, greedy_clusters
-
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(60, 3))
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    at = [datetime(2024, 1, 1 + int(d), int(h)) for d, h in zip(rng.integers(0, 9, 60), rng.integers(0, 24, 60), strict=True)]
-    news = spark.createDataFrame([(k, at[k] if k % 4 else None, at[k]) for k in range(60)], "id bigint, published_at timestamp_ntz, created_at timestamp_ntz")
-    state = [(k, "s", k % 7 != 0, x[k].tolist(), k // 3 if k < 20 else None) for k in range(60)]
-    got = {r.id: r.cluster_id for r in greedy_clusters(news, spark.createDataFrame(state, "news_id bigint, summary string, primary_event_found boolean, embedding array<double>, event_cluster_id bigint"), batch=9).collect()}
-    order = sorted((k for k in range(60) if k >= 20), key=lambda k: (at[k], k))
-    want = {}
-    for start in range(0, len(order), 9):
-        batch, plans = order[start : start + 9], []
-        for n, k in enumerate(batch):
-            best = {}
-            for j in [*range(20), *batch[:n]] if k % 7 else []:
-                if abs((at[j] - at[k]).total_seconds()) <= 3 * 86_400:
-                    cluster = j // 3 if j < 20 else j
-                    best[cluster] = max(best.get(cluster, -2), float(x[j] @ x[k]))
-            top = sorted(((c, s) for c, s in best.items() if s >= 0.16), key=lambda p: (-round(p[1], 9), p[0]))[:6]
-            plans.append((k, [(c, "SAME" if s >= 0.30 else "DIFFERENT" if s < 0.25 else "UNCERTAIN") for c, s in top]))
-        want |= choose_clusters(plans)
-    assert got == want
-
-
 def test_feed_query_bounds():
     import pytest
 

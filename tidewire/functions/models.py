@@ -6,12 +6,17 @@ without a network. A real model comes in through :func:`model_function`.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.functions.scoring import l2_normalize
 from tidewire.functions.text import first_sentence, tokens
@@ -68,24 +73,93 @@ def model_function(call: Callable[[list[str]], list], returns: str, items: int =
     return run
 
 
-def in_order(answers: list[tuple[int | None, list[float]]], expected: int, dimensions: int = DIMENSIONS) -> list[list[float]]:
-    """Vectors of an indexed answer in the order of the texts; an answer without index stands where it came.
+class Indexed(tuple):
+    """``Indexed((index, answer))``: an answer that says which input it belongs to."""
+
+
+def ordered(answers: list, expected: int) -> list:
+    """Answers in the order of the inputs: ``Indexed`` ones by their index, others (and those with index null) where they stand.
 
-    Another number of vectors, an index twice or out of range, or another length is an error.
+    Another number of answers, an index twice or out of range is an error.
     """
-    placed: dict[int, list[float]] = {}
-    for at, (index, vector) in enumerate(answers):
+    placed: dict[int, object] = {}
+    for at, answer in enumerate(answers):
+        index, value = answer if isinstance(answer, Indexed) else (at, answer)
         k = at if index is None else index
         if k in placed or not 0 <= k < expected:
-            raise ValueError(f"vector {k} comes twice or was not asked for")
-        if len(vector) != dimensions:
-            raise ValueError(f"a vector has {len(vector)} parts, not {dimensions}")
-        placed[k] = vector
+            raise ValueError(f"answer {k} comes twice or was not asked for")
+        placed[k] = value
     if len(placed) != expected:
-        raise ValueError(f"{len(placed)} vectors for {expected} texts")
+        raise ValueError(f"{len(placed)} answers to {expected} inputs")
     return [placed[k] for k in range(expected)]
 
 
+def in_order(answers: list[tuple[int | None, list[float]]], expected: int, dimensions: int = DIMENSIONS) -> list[list[float]]:
+    """Vectors of an indexed answer in the order of the texts; a vector of another length is an error too."""
+    vectors = ordered([Indexed(a) for a in answers], expected)
+    for vector in vectors:
+        if len(vector) != dimensions:
+            raise ValueError(f"a vector has {len(vector)} parts, not {dimensions}")
+    return vectors
+
+
+def embedding_function(call: Callable[[list[str]], list[tuple[int | None, list[float]]]], dimensions: int = DIMENSIONS, items: int = CALL_ITEMS, tries: int = 1, wait: float = 0.0) -> Callable[[Column], Column]:
+    """A column of unit vectors from a service whose answers carry the index of their text. A vector of length zero fails its call."""
+
+    def unit(texts: list[str]) -> list[list[float]]:
+        vectors = in_order(call(texts), len(texts), dimensions)
+        lengths = [math.hypot(*v) for v in vectors]
+        if not all(lengths):
+            raise ValueError("a vector has length zero")
+        return [[x / n for x in v] for v, n in zip(vectors, lengths, strict=True)]
+
+    return model_function(unit, "array<float>", items, tries, wait)
+
+
+def answers(rows: DataFrame, inputs: list[str], call: Callable[[list[dict]], list], returns: str, items: int = CALL_ITEMS, tries: int = 1, wait: float = 0.0, at_once: int = 1, must: bool = False) -> DataFrame:
+    """``rows`` with ``answer`` (of type ``returns``), ``failed`` and ``attempts``.
+
+    ``call`` gets up to ``items`` rows' ``inputs`` as dictionaries and returns their
+    answers in order, or ``Indexed`` in any order; another number, or a wrong index, is an
+    error of the job. ``at_once`` calls of a task run side by side. A call that raises is
+    repeated up to ``tries`` times, after waiting ``wait`` seconds, then twice that, and so
+    on; in the end its rows have no answer and ``failed`` set, or (``must``) the job fails.
+    """
+    schema = T.StructType([*rows.schema.fields])
+    kind = T._parse_datatype_string(returns)
+    for name, of in (("answer", kind), ("failed", T.BooleanType()), ("attempts", T.IntegerType())):
+        schema = schema.add(name, of)
+    count = len(rows.columns)
+
+    def ask(some: list[dict]) -> tuple[list, bool, int]:
+        for k in range(1, tries + 1):
+            try:
+                got = call(some)
+            except Exception:  # the border to a service
+                if k == tries and must:
+                    raise
+                if k < tries:
+                    time.sleep(wait * k)
+                continue
+            return ordered(got, len(some)), False, k
+        return [None] * len(some), True, tries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                given = batch.select(inputs).to_pylist()
+                chunks = [given[a : a + items] for a in range(0, len(given), items)]
+                values, failed, attempts = [], [], []
+                for chunk, (got, lost, k) in zip(chunks, pool.map(ask, chunks), strict=True):
+                    values += got
+                    failed += [lost] * len(chunk)
+                    attempts += [k] * len(chunk)
+                made = [pa.array(values, to_arrow_type(kind)), pa.array(failed, pa.bool_()), pa.array(attempts, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(count)), *made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def company_context(profiles: DataFrame, facets: DataFrame) -> DataFrame:
     """``company_id, context``: what a judge is told of a company: name, description, a line per facet and its guidance.
 

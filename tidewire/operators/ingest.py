@@ -31,6 +31,7 @@ class Models:
     has_primary_event: Callable[[Column], Column] = models.has_primary_event
     embedding: Callable[[Column], Column] = models.embedding
     decide: Callable[[Column], Column] = dedup.stand_in_decision
+    align: Callable[[list[dict]], list[list[dict]]] | None = None  # asked in place of ``decide``, once a cluster
     impact: Callable[[Column], Column] = models.grade
     urgency: Callable[[Column], Column] = models.grade
 
@@ -53,7 +54,7 @@ def embed(tables: Tables, use: Models) -> Tables:
 
 
 def assign(tables: Tables, use: Models) -> Tables:
-    chosen = dedup.greedy_clusters(tables.news, tables.state, decide=use.decide).select(F.col("id").alias("news_id"), F.col("cluster_id").alias("event_cluster_id"))
+    chosen = dedup.greedy_clusters(tables.news, tables.state, use.align, use.decide).select(F.col("id").alias("news_id"), F.col("cluster_id").alias("event_cluster_id"))
     return replace(tables, state=merge.set_where_null(tables.state, chosen, "news_id", "event_cluster_id"))
 
 

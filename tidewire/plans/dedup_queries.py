@@ -59,7 +59,7 @@ def pending(spark, sf):
 
 def _scores(spark, sf):
     known = op.vectors(*_news_state(spark, sf))
-    return op.cluster_scores(known, known.where("event_cluster_id IS NOT NULL"))
+    return op.cluster_scores(known, known.where("event_cluster_id IS NOT NULL"), top_k=op.TOP_K)
 
 
 @query(f"{_BASE},\n{_CANDIDATES} SELECT query_id, cluster_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM candidates")
@@ -194,7 +194,31 @@ def regulatory_alert(spark, sf):
     return views.table(spark, sf, "events").select("event_id", scoring.regulatory_alert(*flags).alias("is_alert"))
 
 
-@query()
+_GREEDY = """p AS (
+  SELECT s.news_id AS id, coalesce(n.published_at, n.created_at) AS t, CAST(s.embedding AS DOUBLE[]) AS e, s.event_cluster_id AS c, s.primary_event_found AS asks,
+         s.event_cluster_id IS NULL AND s.summary IS NOT NULL AND s.primary_event_found IS NOT NULL AS waits, s.summary IS NOT NULL AND s.primary_event_found IS NOT NULL AS complete
+  FROM event_state s JOIN news n ON n.id = s.news_id WHERE s.embedding IS NOT NULL),
+met AS (
+  SELECT q.id, coalesce(x.c, x.id) AS cluster, max(list_cosine_similarity(q.e, x.e)) AS score
+  FROM p q JOIN p x ON x.id <> q.id AND x.t BETWEEN q.t - INTERVAL 3 DAY AND q.t + INTERVAL 3 DAY AND (x.c IS NOT NULL OR (x.waits AND (x.t, x.id) < (q.t, q.id)))
+  WHERE q.waits AND q.asks GROUP BY ALL HAVING max(list_cosine_similarity(q.e, x.e)) >= 0.16),
+top AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, cluster) <= 6),
+lists AS (
+  SELECT id, list({'c': cluster, 'v': CASE WHEN score >= 0.30 THEN 'SAME' WHEN score < 0.25 THEN 'DIFFERENT' ELSE 'UNCERTAIN' END}) AS cs
+  FROM top WHERE cluster IN (SELECT coalesce(c, id) FROM p WHERE complete) GROUP BY id),
+plan AS (
+  SELECT p.id, coalesce(cs, []) AS cs, row_number() OVER (ORDER BY p.t, p.id) AS k FROM p LEFT JOIN lists ON lists.id = p.id WHERE p.waits)"""
+_CHOICE = """(WITH m AS (SELECT list_transform(plan.cs, lambda x: {'c': coalesce(f.clusters[list_position(f.ids, x.c)], x.c), 'v': x.v}) AS cs),
+  g AS (SELECT list_transform(list_distinct(list_transform(cs, lambda x: x.c)), lambda c: {'c': c, 'v': list_distinct(list_transform(list_filter(cs, lambda y: y.c = c), lambda y: y.v))}) AS gs FROM m),
+  d AS (SELECT list_filter(gs, lambda x: x.v = ['SAME']) AS same, list_filter(gs, lambda x: NOT list_contains(x.v, 'DIFFERENT') AND x.v <> ['SAME']) AS unsure FROM g)
+  SELECT CASE WHEN len(same) = 1 AND len(unsure) = 0 THEN same[1].c ELSE plan.id END FROM d)"""
+
+
+@query(f"""{_BASE.replace("WITH", "WITH RECURSIVE", 1)},\n{_GREEDY},
+fold AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS ids, []::BIGINT[] AS clusters
+  UNION ALL SELECT plan.k, list_append(f.ids, plan.id), list_append(f.clusters, {_CHOICE}) FROM fold f JOIN plan ON plan.k = f.k + 1)
+SELECT unnest(ids) AS id, unnest(clusters) AS cluster_id FROM (SELECT * FROM fold ORDER BY k DESC LIMIT 1)""")
 def greedy_clusters(spark, sf):
     return op.greedy_clusters(*_news_state(spark, sf))
 
