@@ -158,10 +158,18 @@ def test_listing_page(spark):
         '<nav><a href="/menu/entry/with/a/long/label">A label of the menu, long enough</a></nav><ul><li><a href="story-1">The bridge is open again</a> <b>07.11.2025 08:15</b></li>'
         '<li><a href="story-2?utm_source=z">A town builds its first tram</a><time datetime="2025-11-06T10:00:00Z"></time></li><li><a href="story-1">The bridge, told twice over</a></li></ul><a href="?page=2">Older posts</a><a href="?page=2">2</a>'
     )
-    found = html.cards(page, "https://daily.test/all/")
-    assert [c["url"] for c in found] == ["https://daily.test/menu/entry/with/a/long/label", "https://daily.test/all/story-1", "https://daily.test/all/story-2"]
-    assert (found[1]["published_at"].day, found[1]["published_at"].hour, found[2]["published_at"].hour) == (7, 8, 13)
-    assert html.next_page(page, "https://daily.test/all/") == "https://daily.test/all?page=2"
+    base = F.lit("https://daily.test/all/")
+    found = one(spark, html.listing_cards(F.col("h"), base, 0.0), h=page)
+    assert [c.url for c in found] == ["https://daily.test/menu/entry/with/a/long/label", "https://daily.test/all/story-1", "https://daily.test/all/story-2"]
+    assert [c.title for c in found][1:] == ["The bridge is open again", "A town builds its first tram"]
+    assert (found[1].published_at.day, found[1].published_at.hour, found[2].published_at.hour) == (7, 5, 10)
+    assert one(spark, html.next_listing_page(F.col("h"), base), h=page) == "https://daily.test/all?page=2"
+    twice = '<a href="/x/promo-2024">Short label here</a><a href="/x/promo-2024">A much longer headline of the same page</a><a href="/x/promo-2024">And a third one that comes too late</a>'
+    assert [(c.title, c.published_at) for c in one(spark, html.listing_cards(F.col("h"), base), h=twice)] == [("A much longer headline of the same page", None)]
+    day = one(spark, html.listing_cards(F.col("h"), base, 0.0, today="2023-05-01"), h='<p>7 ноября <a href="/news/1">Dated without a year</a></p>')
+    assert (day[0].published_at.year, day[0].published_at.month) == (2023, 11)
+    for nothing in ("", "<a>", '<a href="mailto:x@y.test">A long enough label</a>'):
+        assert one(spark, html.listing_cards(F.col("h"), base), h=nothing) == [] and one(spark, html.next_listing_page(F.col("h"), base), h=nothing) is None
     shot = one(spark, html.listing_snapshot(F.col("h"), F.lit("https://daily.test/all/")), h=page)
     assert [c.url for c in shot.cards] == ["https://daily.test/all/story-1", "https://daily.test/all/story-2", "https://daily.test/all/story-1"]
     assert [tuple(p) for p in shot.pagination] == [("https://daily.test/all?page=2", "Older posts")] and "menu" not in shot.page_text

@@ -68,15 +68,18 @@ _HOST = "lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1))"
 
 
 @query(f"""SELECT page_id, 0 AS pos, {_HOST} || '/news/' || page_id AS url, 'A long enough headline ' || page_id AS title, make_timestamp(2024, 3, page_id % 28 + 1, 7, 5, 0) AS published_at FROM pages
-UNION ALL SELECT page_id, 1, 'https://other.test/article/' || page_id, 'The second one, told in brief', NULL FROM pages""")
+UNION ALL SELECT page_id, 1, {_HOST} || '/x/promo-2024', 'A headline that is long enough for a card ' || page_id, CASE WHEN page_id % 2 = 0 THEN make_timestamp(2024, 5, 3, 21, 0, 0) ELSE make_timestamp(2024, 3, page_id % 28 + 1, 7, 5, 0) END FROM pages
+UNION ALL SELECT page_id, 2, 'https://other.test/article/' || page_id, 'The second one, told in brief', NULL FROM pages""")
 def listing_cards(spark, sf):
+    """A url met again, a url whose first label scores too low, labels too short, dates near, in a time element, and too far."""
+    time = F.when(F.col("page_id") % 2 == 0, F.lit('<time datetime="2024-05-04">may</time>')).otherwise(F.lit(""))
     cards = F.concat(
-        _text('<div><a href="/news/', "id", '/">A long enough headline ', "id", "</a><span>", "day", '.03.2024 10:05</span></div><div><p><a href="/news/', "id", '">The same url once more</a></p></div><div><a href="#x">short</a>'),
-        _text('</div><section><div><div><div><div><div><div><a href="https://Other.test/article/', "id", '?utm_source=x">The second one, told in brief</a></div></div></div></div></div></div></section>'),
+        _text('<div><a href="/x/promo-2024">Short label here</a></div><div><a href="/news/', "id", '/">A long enough headline ', "id", "</a><span>", "day", '.03.2024 10:05</span></div><div><p><a href="/news/', "id", '">The same url once more</a></p></div><div><a href="#x">short</a></div>'),
+        F.concat(F.lit("<div>"), time), _text('<a href="/x/promo-2024">A headline that is long enough for a card ', "id", "</a></div>"),
+        _text('<section><div><div><div><div><div><div><a href="https://Other.test/article/', "id", '?utm_source=x">The second one, told in brief</a></div></div></div></div></div></div></section>'),
     )
-    found = _with(spark, sf, "<nav>", cards).select("page_id", F.posexplode(html.listing_cards(F.col("html"), F.col("url"))).alias("pos", "c"))
-    likely = scoring.score(scoring.article_rules(F.col("c.url"), F.col("c.title")))["value"]
-    return found.where(F.round(likely, 9) >= CARD_SCORE).select("page_id", "pos", "c.url", "c.title", F.col("c.published_at").cast("timestamp_ntz").alias("published_at"))
+    found = _with(spark, sf, "<nav>", cards).select("page_id", F.posexplode(html.listing_cards(F.col("html"), F.col("url"), CARD_SCORE)).alias("pos", "c"))
+    return found.select("page_id", "pos", "c.url", "c.title", F.col("c.published_at").cast("timestamp_ntz").alias("published_at"))
 
 
 @query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN {_HOST} || '/list?page=2' WHEN 1 THEN {_HOST} || '/archive?page=3' END AS next FROM pages")
