@@ -45,6 +45,34 @@ def test_sources(spark):
     assert sorted(r.id for r in seed(desk.sources, [(2, "Again", "u", "web", 1, True, True), (3, "Seed", "v", "web", 1, True, True)]).collect()) == [1, 2, 3]
 
 
+def test_addresses_of_sources(spark):
+    desk = source_desk(spark)
+    one = lambda d, k=1: d.get(k).first()
+    for taken in ("https://old.test", "HTTPS://WWW.Old.test/"):
+        with pytest.raises(ConflictError):
+            desk.update(1, {"link": taken})
+    for wrong in ("mailto:x", "nothing"):
+        with pytest.raises(ValueError, match="address"):
+            desk.update(1, {"link": wrong})
+    with pytest.raises(ValueError, match="can't be set"):
+        desk.update(1, {"type": "web"})
+    same = one(desk.update(1, {"link": "https://www.daily.test/"}))
+    assert (same.link, same.type, same.feeds) == ("https://www.daily.test/", "rss", ["https://daily.test/a", "https://daily.test/b"])
+    moved = desk.update(1, {"link": "https://next.test", "name": "Next"}, [f"https://next.test/{k % 12}" for k in range(24)])
+    assert (one(moved).link, one(moved).type, one(moved).name, one(moved).poll_interval_seconds) == ("https://next.test", "rss", "Next", 300)
+    assert one(moved).feeds == sorted(f"https://next.test/{k}" for k in range(10)) and moved.feeds.select("id").distinct().count() == 10
+    assert (one(desk.update(1, {"link": "https://next.test"})).type, one(desk.update(1, {"link": "https://next.test"})).feeds) == ("web", [])
+    channel = one(desk.update(1, {"link": "https://t.me/channel"}, ["https://t.me/feed"]))
+    assert (channel.type, channel.poll_interval_seconds, channel.feeds) == ("telegram", None, [])
+    # The verdict on an old address goes with it, and so does its switching off; a switch that was sent counts.
+    back = one(desk.update(2, {"link": "https://better.test"}), 2)
+    assert (back.is_relevant, back.is_enabled) == (True, True)
+    assert one(desk.update(2, {"link": "https://better.test", "is_enabled": "false"}), 2).is_enabled is False
+    for still in ({"is_enabled": "true"}, {"is_enabled": "true", "link": "https://www.old.test"}):
+        with pytest.raises(ConflictError):
+            desk.update(2, still)
+
+
 def test_acts(spark):
     at = datetime(2024, 1, 2)
     registry = spark.createDataFrame([(1, "https://sozd.duma.gov.ru/bill/1-8", "T", at, None, at)], "id bigint, url string, title string, source_updated_at timestamp_ntz, last_checked_at timestamp_ntz, created_at timestamp_ntz")

@@ -77,7 +77,7 @@ class Indexed(tuple):
     """``Indexed((index, answer))``: an answer that says which input it belongs to."""
 
 
-def ordered(answers: list, expected: int) -> list:
+def ordered(answers: list, expected: int, what: str = "answer") -> list:
     """Answers in the order of the inputs: ``Indexed`` ones by their index, others (and those with index null) where they stand.
 
     Another number of answers, an index twice or out of range is an error.
@@ -87,16 +87,16 @@ def ordered(answers: list, expected: int) -> list:
         index, value = answer if isinstance(answer, Indexed) else (at, answer)
         k = at if index is None else index
         if k in placed or not 0 <= k < expected:
-            raise ValueError(f"answer {k} comes twice or was not asked for")
+            raise ValueError(f"{what} {k} comes twice or was not asked for")
         placed[k] = value
     if len(placed) != expected:
-        raise ValueError(f"{len(placed)} answers to {expected} inputs")
+        raise ValueError(f"{len(placed)} {what}s to {expected} inputs")
     return [placed[k] for k in range(expected)]
 
 
 def in_order(answers: list[tuple[int | None, list[float]]], expected: int, dimensions: int = DIMENSIONS) -> list[list[float]]:
     """Vectors of an indexed answer in the order of the texts; a vector of another length is an error too."""
-    vectors = ordered([Indexed(a) for a in answers], expected)
+    vectors = ordered([Indexed(a) for a in answers], expected, "vector")
     for vector in vectors:
         if len(vector) != dimensions:
             raise ValueError(f"a vector has {len(vector)} parts, not {dimensions}")

@@ -110,13 +110,42 @@ class SourceDesk:
         seconds = F.when(F.col("type") != "telegram", F.coalesce(F.nullif("poll_interval_seconds", F.lit(0)), F.lit(sources.POLL_SECONDS)))
         return replace(self, sources=self.sources.unionByName(typed.withColumn("poll_interval_seconds", seconds).select(*self.sources.columns)))
 
-    def update(self, source_id: int, fields: dict[str, str | None]) -> SourceDesk:
-        """Only the fields that were sent change; switching on a source that was found not relevant is refused."""
-        row = _one(self.sources, source_id, "source").first()
-        if fields.get("is_enabled") == "true" and row.is_relevant is False and "link" not in fields:
+    def update(self, source_id: int, fields: dict[str, str | None], found_feeds: list[str] | None = None) -> SourceDesk:
+        """Only the fields that were sent change, and what a new address implies.
+
+        ``found_feeds``: the feeds that a finder saw at a new address, best first. A new
+        address (by identity) must be a source's and no other source's; type, interval,
+        feeds and relevance follow it unless they were sent. A source that was found not
+        relevant can't be on.
+        """
+        strange = set(fields) - {"name", "link", "poll_interval_seconds", "is_enabled", "reliability"}
+        if strange:
+            raise ValueError(f"can't be set: {', '.join(sorted(strange))}")
+        spark, row = self.sources.sparkSession, _one(self.sources, source_id, "source").first()
+        after, after_feeds, relevant, enabled = self.sources, self.feeds, row.is_relevant, row.is_enabled
+        if fields.get("link") is not None:
+            link = spark.createDataFrame([(source_id, fields["link"], bool(found_feeds))], "id bigint, new_link string, has_feed boolean")
+            asked = link.select(urls.source_link_valid(F.col("new_link")).alias("valid"), urls.source_identity(F.col("new_link")).alias("identity"), urls.source_identity(F.lit(row.link)).alias("own")).first()
+            if not asked.valid:
+                raise ValueError(f"not a source's address: {fields['link']}")
+            if asked.identity != asked.own:
+                others = self.sources.where((F.col("id") != source_id) & (urls.source_identity(F.col("link")) == asked.identity))
+                if not others.isEmpty():
+                    raise ConflictError(f"there is a source for {fields['link']}")
+                after = sources.update_addresses(self.sources, link).select(*self.sources.columns)
+                moved = after.where(F.col("id") == source_id).first()
+                relevant, enabled = moved.is_relevant, moved.is_enabled
+                kept = list(dict.fromkeys(found_feeds or []))[: sources.FEEDS_MAX] if moved.type == "rss" else []
+                first = (self.feeds.agg(F.max("id")).first()[0] or 0) + 1
+                rows = spark.createDataFrame([(first + k, source_id, u) for k, u in enumerate(kept)], "id bigint, source_id bigint, url string")
+                gone = self.feeds.where(F.col("source_id") != source_id)
+                after_feeds = gone.unionByName(rows.select(*(F.col(c).cast(t) for c, t in self.feeds.select("id", "source_id", "url").dtypes)), allowMissingColumns=True)
+        if "is_enabled" in fields:
+            enabled = fields["is_enabled"] == "true"
+        if enabled and not relevant:
             raise ConflictError(f"source {source_id} was found not relevant")
-        sent = self.sources.sparkSession.createDataFrame([(source_id, fields)], "id bigint, fields map<string,string>")
-        return replace(self, sources=merge.patch(self.sources, sent, "id"))
+        sent = spark.createDataFrame([(source_id, fields)], "id bigint, fields map<string,string>")
+        return SourceDesk(merge.patch(after, sent, "id"), after_feeds)
 
     def delete(self, source_id: int, news: DataFrame) -> tuple[SourceDesk, DataFrame]:
         """Without the source, its feeds and its news."""
@@ -154,14 +183,6 @@ class ActDesk:
         return acts.register(self.registry, named)
 
 
-def list_acts(registry: DataFrame, limit: int = acts.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    return acts.page(registry, limit, offset)
-
-
-def list_sources(table: DataFrame, rss_links: DataFrame) -> DataFrame:
-    return sources.with_feeds(table, rss_links)
-
-
 def seed(table: DataFrame, rows: list[tuple]) -> DataFrame:
     """``table`` with seed rows (in its column order) that it lacks by id."""
     given = table.sparkSession.createDataFrame(rows, table.schema)
