@@ -188,7 +188,7 @@ class RecordsWriter(DataSourceArrowWriter):
         store, at = _open(self.path)
         files, start = [], 0
         done = sorted((m for m in messages if m is not None and m.name), key=lambda m: (m.first, m.last))
-        for m, after in zip(done, [*done[1:], None], strict=True):
+        for m, after in zip(done, [*done, None][1:], strict=True):
             if after is not None and m.last > after.first:
                 raise ValueError("rows were not dealt by ranges of ids")
             files.append({"name": m.name, "records": m.records, "tokens": m.tokens, "bytes": m.size, "start": start})

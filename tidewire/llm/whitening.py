@@ -7,7 +7,8 @@ block of ``components + OVERSAMPLE`` directions is multiplied by the covariance
 in passes over all centred rows, orthonormalised between passes, and a
 Rayleigh-Ritz step on the block gives components, eigenvalues and, from the same
 pass, their residuals. Once every residual is small against the gap to the next
-eigenvalue (``TOLERANCE``), the components are right to double precision. If the
+eigenvalue (``TOLERANCE``), or no larger than the covariance's own rounding, the
+components are right to double precision. If the
 passes don't get there, or shrink the residuals too slowly to get there in
 ``PASSES``, the block is expanded to full dimension, where the step is exact.
 
@@ -120,7 +121,7 @@ def covariance_times(vectors: DataFrame, n: int, sums: list[int], block: np.ndar
 
 
 def rayleigh_ritz(block: np.ndarray, product: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """``wanted`` eigenvalues, falling, their unit vectors, and the worst residual in gaps to the nearest other eigenvalue."""
+    """``wanted`` eigenvalues, falling, their unit vectors, and the worst residual as a multiple of what is allowed."""
     inner = block.T @ product
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     values, turn = values[::-1], turn[:, ::-1]
@@ -128,7 +129,9 @@ def rayleigh_ritz(block: np.ndarray, product: np.ndarray, wanted: int) -> tuple[
     apart = np.abs(values[:wanted, None] - values[None, :])
     apart[np.arange(wanted), np.arange(wanted)] = np.inf
     gap = apart.min(axis=1, initial=np.inf)
-    worst = float(np.max(residual / np.maximum(gap, np.finfo(float).tiny), initial=0.0)) if residual.any() else 0.0
+    rounding = len(block) * np.finfo(float).eps * max(values[0], np.finfo(float).tiny)
+    gap[np.isinf(gap)] = 0.0
+    worst = float(np.max(residual / (TOLERANCE * gap + rounding), initial=0.0))
     vectors = block @ turn[:, :wanted]
     return values[:wanted], vectors / np.linalg.norm(vectors, axis=0), worst
 
@@ -146,9 +149,9 @@ def components(multiply: Callable[[np.ndarray], tuple[np.ndarray, float]], dimen
         for left in range(passes - 1, -1, -1):
             product, trace = multiply(block)
             values, vectors, worst = rayleigh_ritz(block, product, wanted)
-            if worst <= TOLERANCE:
+            if worst <= 1:
                 return values, vectors, trace, width
-            if worst * min(1.0, worst / before) ** left > TOLERANCE and np.isfinite(before):
+            if np.isfinite(before) and worst * min(1.0, worst / before) ** left > 1:
                 break  # what is left of the passes won't do
             before = worst
             block = np.linalg.qr(product)[0]
