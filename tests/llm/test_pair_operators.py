@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 from itertools import product
 
@@ -173,6 +174,41 @@ def test_vectors_of_low_intrinsic_dimension(spark, monkeypatch, intrinsic):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (links[k], component[k]) for k in links}
 
 
+def test_a_hot_block_is_labelled_by_arrays():
+    """3,000 vectors that all link, and groups that meet only through visitors."""
+    rng = np.random.default_rng(0)
+    hub = rng.normal(size=64)
+    x = vectors.unit(hub + rng.normal(size=(3000, 64)) * 0.05)
+    ids, ones = np.arange(3000) * 7, np.ones(3000, np.int64)
+    began = time.time()
+    links, back, forest = vectors.compare_block(x, ids, ones, (np.zeros(3000, np.int64), np.zeros(0, np.int64)), x, ids, ones, np.full(3000, -1), 0.95)
+    assert time.time() - began < 1.0
+    assert (links == 2999).all() and not back.any() and sorted(map(tuple, forest)) == [(7 * k, 0) for k in range(1, 3000)]
+    angle = np.arange(0, 3000) * np.arccos(0.96)  # a chain: each links with the next only
+    chain = np.column_stack([np.cos(angle[:20]), np.sin(angle[:20])])
+    order = rng.permutation(20)
+    own, other = order[:10], order
+    links, back, forest = vectors.compare_block(chain[own], own, ones[:10], (np.full(10, 1), np.full(10, 4)), chain[other], other, ones[:20], np.where(np.isin(other, own), -1, np.where(other % 2, 4, 5)), 0.95)
+    edges = {(int(a), int(b)) for a in own for b in other if a != b and chain[a] @ chain[b] >= 0.95}
+    assert links.tolist() == [sum(a == k for a, _ in edges) for k in own]
+    want = {int(k): 0 if k in own or k % 2 else sum(b == k for _, b in edges) for k in other}  # cell 4 is visited in turn
+    assert {int(k): int(n) for k, n in zip(other, back, strict=True)} == want
+    assert components([(int(a), int(b)) for a, b in forest]) == components(edges)
+
+
+def test_every_length_is_clustered(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 40)
+    monkeypatch.setattr(vectors, "OWN_BLOCK", 50)
+    rows, want = [], {}
+    for at, d in ((0, 16), (1000, 5), (2000, 3)):
+        x = vector_rows(n=80, d=d, seed=d)[: 25 if d == 3 else None]
+        links, component = vectors.brute_force([at + k for k in range(len(x))], x)
+        rows += [(at + k, v.tolist()) for k, v in enumerate(x)]
+        want |= {k: (links[k], component[k]) for k in links}
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     alone = vectors.near_duplicates(spark.createDataFrame([(None, [1.0, 2.0]), (None, None)], "vec_id bigint, embedding array<float>")).collect()

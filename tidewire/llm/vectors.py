@@ -20,8 +20,8 @@
 5. Components of the forests give the groups; the smallest ``vec_id`` is kept.
 
 Null or zero vectors, and those with null or non-finite parts, link with nothing
-and are their own components. Vectors of other lengths than the most frequent
-one are compared among themselves. Repeated rows are copies. A null ``vec_id``
+and are their own components. Vectors of each length are a table of their own:
+clustered if they fill more than one cell, else one cell. Repeated rows are copies. A null ``vec_id``
 sorts below all others. An empty table gives no rows.
 """
 
@@ -82,10 +82,11 @@ def visited(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.
     """The cell of every unit row, and the other cells it visits."""
     near = x @ centroids.T
     cell = near.argmax(axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))
+    home, which = np.unique(cell, return_inverse=True)  # distances of the cells that these rows lie in
+    apart = np.sqrt(np.maximum(2 - 2 * centroids[home] @ centroids.T, 0))
     reach = np.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12) / 2
     gap = near[np.arange(len(x)), cell][:, None] - near
-    goes = gap <= reach * apart[cell] + 1e-7  # more than rounding can move either side
+    goes = gap <= reach * apart[which] + 1e-7  # more than rounding can move either side
     goes[np.arange(len(x)), cell] = False
     return cell, [np.flatnonzero(g) for g in goes]
 
@@ -122,41 +123,45 @@ def _rows(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
 
 def compare_block(
     own: np.ndarray, own_id: np.ndarray, own_copies: np.ndarray, goes: tuple[np.ndarray, np.ndarray], other: np.ndarray, other_id: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float
-) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Links of each own unit vector to the others (their copies summed), of each visitor to own vectors that don't visit its cell, and a spanning forest.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each own unit vector to the others (their copies summed), of each visitor to own vectors that don't visit its cell, and a forest.
 
     ``goes`` has how many cells each own vector visits, and these cells; ``home`` is a visitor's cell, -1 for the cell's own.
+    The forest joins every vector of a group of links to the group's smallest id.
     """
-    cells = max(int(goes[1].max(initial=0)), int(home.max(initial=0))) + 1
-    visits = np.sort(np.repeat(np.arange(len(own)), goes[0]) * cells + goes[1])
+    # Which own vectors visit which of the visitors' cells.
+    cells, which = np.unique(home, return_inverse=True)
+    visits = np.zeros((len(own), len(cells)), bool)
+    at = np.minimum(np.searchsorted(cells, goes[1]), len(cells) - 1) if len(cells) else goes[1]
+    met = cells[at] == goes[1] if len(cells) else np.zeros(len(at), bool)
+    visits[np.repeat(np.arange(len(own)), goes[0])[met], at[met]] = True
+    visitor = np.flatnonzero(home >= 0)
     links, back = np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)
-    node = {int(i): k for k, i in enumerate(np.union1d(own_id, other_id))}
-    parent = list(range(len(node)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    forest = []
+    nodes = np.union1d(own_id, other_id)  # ascending, so the smallest place is the smallest id
+    mine, theirs = np.searchsorted(nodes, own_id), np.searchsorted(nodes, other_id)
+    parent = np.arange(len(nodes))
     for at in range(0, len(own), 256):
-        hit = own[at : at + 256] @ other.T >= threshold
-        hit &= own_id[at : at + 256, None] != other_id[None, :]
-        links[at : at + 256] = hit @ copies
-        rows, columns = np.nonzero(hit)
-        visitor = np.flatnonzero(home[columns] >= 0)
-        wanted = (at + rows[visitor]) * cells + home[columns[visitor]]
-        place = np.minimum(np.searchsorted(visits, wanted), len(visits) - 1)
-        missed = visitor[visits[place] != wanted] if len(visits) else visitor
-        np.add.at(back, columns[missed], own_copies[at + rows[missed]])
-        for r, c in zip(rows, columns, strict=True):
-            i, j = int(own_id[at + r]), int(other_id[c])
-            a, b = root(node[i]), root(node[j])
-            if a != b:
-                parent[a] = b
-                forest.append((i, j))
-    return links, back, forest
+        some = slice(at, at + 256)
+        hit = own[some] @ other.T >= threshold
+        hit &= own_id[some, None] != other_id[None, :]
+        links[some] = hit @ copies
+        if len(visitor):
+            back[visitor] += own_copies[some] @ (hit[:, visitor] & ~visits[some][:, which[visitor]])
+        rows, columns = hit.any(axis=1), hit.any(axis=0)
+        hit, a, b = hit[rows][:, columns], mine[some][rows], theirs[columns]
+        while hit.size:
+            mark = parent[a], parent[b]
+            # Every row offers its group to the columns it hits, and takes the least of theirs.
+            least = np.where(hit, mark[1][None, :], len(nodes)).min(axis=1)
+            down = np.where(hit, mark[0][:, None], len(nodes)).min(axis=0)
+            np.minimum.at(parent, mark[0], least)
+            np.minimum.at(parent, mark[1], down)
+            while (parent != parent[parent]).any():
+                parent = parent[parent]
+            if (parent[a] == mark[0]).all() and (parent[b] == mark[1]).all():
+                break
+    joined = np.flatnonzero(parent != np.arange(len(nodes)))
+    return links, back, np.column_stack([nodes[joined], nodes[parent[joined]]])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -168,15 +173,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
         read.where("high is not null").groupBy("high", "low", "width").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")),
         "vector-classes",
     )
-    main = reps.groupBy("width").count().orderBy(F.desc("count"), "width").first()
-    found = None
-    if main is None:
-        found = spark.createDataFrame([], "id bigint, links bigint, other bigint")
-    else:
-        near = _compare(_in_cells(reps.where(F.col("width") == main.width), threshold, sample), threshold)
-        # Vectors of each other length are one cell: compared in blocks, all with all.
-        rest = reps.where(F.col("width") != main.width).select(F.col("width").alias("cell"), F.lit(-1).alias("home"), F.array().cast("array<int>").alias("goes"), "rep", "copies", "v")
-        found = near.unionByName(_compare(rest, threshold))
+    large = [r.width for r in reps.groupBy("width").count().where(F.col("count") > CELL).collect()]  # few: each fills a cell
+    # Lengths that fit into a cell are one each.
+    rest = reps.where(~F.col("width").isin(large)).select(F.col("width").alias("cell"), F.lit(-1).alias("home"), F.array().cast("array<int>").alias("goes"), "rep", "copies", "v")
+    found = _compare(rest, threshold)
+    for width in large:
+        found = found.unionByName(_compare(_in_cells(reps.where(F.col("width") == width), threshold, sample), threshold))
     found = materialise(found, "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null"), "id", "other")
@@ -257,9 +259,9 @@ def _compare(placed: DataFrame, threshold: float) -> DataFrame:
         have = np.flatnonzero(all_counts)
         return pa.table(
             {
-                "id": pa.array([*all_ids[have].tolist(), *(a for a, _ in forest)], pa.int64()),
-                "links": pa.array([*all_counts[have].tolist(), *(0 for _ in forest)], pa.int64()),
-                "other": pa.array([*(None for _ in have), *(b for _, b in forest)], pa.int64()),
+                "id": pa.array(np.concatenate([all_ids[have], forest[:, 0]])),
+                "links": pa.array(np.concatenate([all_counts[have], np.zeros(len(forest), np.int64)])),
+                "other": pa.concat_arrays([pa.nulls(len(have), pa.int64()), pa.array(forest[:, 1].copy())]),
             }
         )
 
