@@ -284,6 +284,9 @@ def test_spans_are_of_several_sentences(spark):
     rows = [(1, f"{lone} Start of a."), (2, f"{lone} Start of b."), (3, short + "Tail a."), (4, short + "Tail b."), (5, short * 3 + lone + " End."), (6, short * 3 + lone + " Not.")]
     got = {r.doc_id: r.n_removed for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 10}
+    seven = " ".join(" ".join(f"s{k}{n}" for n in range(7)) + "." for k in range(3)) + " "  # three sentences of seven words
+    pair = [(1, "Before this. " + seven + "After a."), (2, "Other words. " + seven + "After b.")]
+    assert {r.doc_id: r.n_removed for r in spans.dedup_spans(spark.createDataFrame(pair, "doc_id bigint, text string")).collect()} == {1: 0, 2: 3}
     few = {r.doc_id: r.n_removed for r in spans.dedup_spans(spark.createDataFrame(rows[:4], "doc_id bigint, text string"), min_sentences=3, min_words=0).collect()}
     assert few == {1: 0, 2: 0, 3: 0, 4: 3}
 

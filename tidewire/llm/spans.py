@@ -5,9 +5,9 @@ or after a line end and the blanks that follow; blanks are ``[\\x20\\x09-\\x0D]`
 A span is a run of consecutive sentences with at least ``MIN_SENTENCES`` sentences
 and ``MIN_WORDS`` words: from each sentence on the shortest such run, and up to
 each sentence the shortest such run. So every sentence of a repeated passage of
-that size lies in a span inside the passage, whatever stands around it. (Without
-the floor of words, runs of one-word sentences and short license lines count: see
-the README for figures.)
+that size lies in a span inside the passage, whatever stands around it. Both are
+arguments: without the floor of words a span is a run of so many sentences, and
+runs of one-word sentences and short license lines count (the README has figures).
 
 Each document's spans are hashed to 128 bits and written once. Counting and the
 first document per span combine on the map side; spans found in two documents or
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from tidewire.llm._store import materialise, release, ship, small_side
 from tidewire.llm.words import BLANKS
 
-MIN_SENTENCES, MIN_WORDS = 2, 25
+MIN_SENTENCES, MIN_WORDS = 2, 20
 NO_ID = -(1 << 63)
 _B = r"[\x20\x09-\x0D]"
 #: A sentence with the blanks before a text's first and after every one: the sentences of a text make up all of it.
