@@ -8,7 +8,7 @@ from tidewire.functions import dates, models, text
 from tidewire.operators import acts as act
 from tidewire.operators import dedup, merge
 from tidewire.operators import feed as feeds
-from tidewire.plans.api import seed
+from tidewire.plans.api import dump, load, seed
 from tidewire.plans.dedup_queries import _BASE, _CANDIDATES
 from tidewire.plans.registry import query
 from tidewire.sources import views
@@ -16,6 +16,7 @@ from tidewire.sources.shared import Scratch
 from tidewire.sources.store import SnapshotStore, cascade
 from tidewire.sources.textindex import TextIndex
 from tidewire.sources.views import NEWS_SQL, RANKING_SQL, REGISTRY_SQL, RSS_LINK_SQL, SOURCE_SQL, STATE_SQL
+from tidewire.streaming import jobs
 
 TERM = "ETION thE"
 
@@ -131,7 +132,7 @@ def news_cards(spark, sf):
 
 @query("""WITH told AS (SELECT c_nationkey AS company_id, c_custkey, '- ' || c_name || ': ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '  Guidance: ' || c_custkey ELSE '' END AS line FROM customer WHERE c_nationkey % 5 <> 4),
 lists AS (SELECT company_id, string_agg(line, chr(10) ORDER BY c_custkey) AS lines FROM told GROUP BY company_id)
-SELECT n_nationkey AS company_id, 'Company: ' || n_name || chr(10) || 'In region ' || n_regionkey || chr(10) || 'Relevance facets:' || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || lines END AS context
+SELECT CAST(n_nationkey AS BIGINT) AS company_id, 'Company: ' || n_name || chr(10) || 'In region ' || n_regionkey || chr(10) || 'Relevance facets:' || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || lines END AS context
 FROM nation LEFT JOIN lists ON company_id = n_nationkey""")
 def company_contexts(spark, sf):
     """Nations as companies, their customers as facets; some have guidance, some companies no facet."""
@@ -165,3 +166,20 @@ def seed_sources(spark, sf):
     have = views.source(spark, sf).select("id", "name")
     known = have.agg(F.min("id")).first()[0]
     return seed(have, [(-1, "seeded"), (known, "known already")])
+
+
+@query(f"""WITH {SOURCE_SQL}, j AS (SELECT id, poll_interval_seconds AS seconds, id * 100 AS since FROM source), l AS (SELECT id, id % 4 AS slot FROM source WHERE id % 3 <> 1)
+SELECT j.id, CAST((10000 - since) // seconds AS BIGINT) AS slot, CAST((10000 - since) // seconds - coalesce(l.slot, 0) - 1 AS BIGINT) AS missed FROM j LEFT JOIN l ON l.id = j.id
+WHERE seconds > 0 AND (10000 - since) // seconds > coalesce(l.slot, 0)""")
+def due_jobs(spark, sf):
+    sources = views.source(spark, sf)
+    scheduled = sources.select("id", F.col("poll_interval_seconds").alias("seconds"), (F.col("id") * 100).alias("since"))
+    return jobs.due(scheduled, sources.where("id % 3 <> 1").select("id", (F.col("id") % 4).alias("slot")), 10_000)
+
+
+@query(f"WITH {NEWS_SQL} SELECT id, url, title, text, created_at, published_at, is_alert FROM news")
+def dump_and_replay(spark, sf):
+    news = views.news(spark, sf)
+    folder = f"{Scratch(spark, 'dump').root}/news"
+    dump(news, folder)
+    return load(spark, folder, news.schema).select("id", "url", "title", "text", "created_at", "published_at", "is_alert")
