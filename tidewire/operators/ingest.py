@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions import models
+from tidewire.functions import models, scoring
 from tidewire.operators import dedup, merge, ranking
 
 
@@ -25,8 +25,21 @@ class Tables:
     ranking: DataFrame
 
 
+#: What a port of structs answers: summaries of items, and judgements of clusters.
+SUMMARY, JUDGEMENT = "summary string, primary_event_found boolean", "impact array<int>, urgency_basis string"
+Port = Callable[[list[dict]], list]
+
+
 @dataclass(frozen=True)
 class Models:
+    """Column functions, or ports in their place (see ``functions.models.answers``: answers in order, or by index).
+
+    ``summarise`` gets items (``id, title, text``) and answers ``summary`` and
+    ``primary_event_found``; ``judge`` gets clusters (``cluster_id, summaries, primary_event_flags, published_at, source_score, member_count, company``)
+    and answers the impact scores and the ``urgency_basis``. Rows whose calls fail stay
+    as they are: the next batch asks for them again.
+    """
+
     summary: Callable[[Column], Column] = models.summary
     has_primary_event: Callable[[Column], Column] = models.has_primary_event
     embedding: Callable[[Column], Column] = models.embedding
@@ -34,6 +47,13 @@ class Models:
     align: Callable[[list[dict]], list[list[dict]]] | None = None  # asked in place of ``decide``, once a cluster
     impact: Callable[[Column], Column] = models.grade
     urgency: Callable[[Column], Column] = models.grade
+    summarise: Port | None = None
+    judge: Port | None = None
+    company: str = ""
+    items: int = models.CALL_ITEMS
+    tries: int = 3
+    wait: float = 1.0
+    at_once: int = 20
 
 
 def store_news(tables: Tables, batch: DataFrame) -> Tables:
@@ -44,8 +64,14 @@ def store_news(tables: Tables, batch: DataFrame) -> Tables:
 
 def summarise(tables: Tables, use: Models) -> Tables:
     done = tables.state.where("summary IS NOT NULL AND primary_event_found IS NOT NULL").select(F.col("news_id").alias("id"))
-    missing = tables.news.join(done, "id", "left_anti").select(F.col("id").alias("news_id"), use.summary(F.col("text")).alias("summary"))
-    return replace(tables, state=merge.upsert_state(tables.state, missing.withColumn("primary_event_found", use.has_primary_event(F.col("summary")))))
+    missing = tables.news.join(done, "id", "left_anti")
+    if use.summarise is None:
+        found = missing.select(F.col("id").alias("news_id"), use.summary(F.col("text")).alias("summary"))
+        found = found.withColumn("primary_event_found", use.has_primary_event(F.col("summary")))
+    else:
+        said = models.answers(missing.select("id", "title", "text"), ["id", "title", "text"], use.summarise, SUMMARY, use.items, use.tries, use.wait, use.at_once)
+        found = said.where(~F.col("failed") & F.col("answer.summary").isNotNull()).select(F.col("id").alias("news_id"), "answer.summary", "answer.primary_event_found")
+    return replace(tables, state=merge.upsert_state(tables.state, found))
 
 
 def embed(tables: Tables, use: Models) -> Tables:
@@ -62,8 +88,14 @@ def rank(tables: Tables, batch: DataFrame, facets: DataFrame, use: Models) -> Ta
     """Ranks the clusters that the batch's items belong to; BM25 statistics cover these clusters only."""
     touched = ranking.affected_clusters(tables.news, tables.state, batch)
     members = dedup.cluster_members(tables.news, tables.state).join(touched, "cluster_id", "left_semi")
-    key = F.col("cluster_id")
-    ranked = ranking.rank(dedup.cluster_targets(members), facets, use.impact(key), use.urgency(key))
+    targets = dedup.cluster_targets(members)
+    impact, urgency = use.impact(F.col("cluster_id")), use.urgency(F.col("cluster_id"))
+    if use.judge is not None:
+        asked = targets.withColumn("company", F.lit(use.company))
+        said = models.answers(asked, asked.columns, use.judge, JUDGEMENT, 1, use.tries, use.wait, use.at_once)
+        targets = said.where(~F.col("failed") & (F.size("answer.impact") > 0))
+        impact, urgency = F.array_max("answer.impact"), scoring.urgency_grade(F.col("answer.urgency_basis"))
+    ranked = ranking.rank(targets, facets, impact, urgency)
     return replace(tables, ranking=merge.upsert_ranking(tables.ranking, ranked.select(*tables.ranking.columns)))
 
 
