@@ -102,6 +102,24 @@ def test_chains_are_dealt_by_bucket(spark, monkeypatch):
     assert seen[0] > 800  # in several buckets each
 
 
+def test_links_do_not_depend_on_how_groups_are_dealt(spark, monkeypatch):
+    """A banding that misses many pairs: whole groups and single buckets count the same ones."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(w if rng.random() > 0.012 else f"x{rng.randrange(9999)}" for w in base)) for k in range(90)]
+    rows += [(200 + k, " ".join(base[3 * k : 3 * k + 60])) for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, plain = [], ngrams._verify
+    monkeypatch.setattr(ngrams, "_verify", lambda docs, dealt, *how: seen.append(dealt.where("size(units) > 1").count()) or plain(docs, dealt, *how))
+    found = []
+    for block in (100_000, 2, 8):
+        monkeypatch.setattr(ngrams, "BLOCK", block)
+        found.append(Counter((r.doc_id, r.class_id, r.n_links) for r in ngrams.near_duplicates(table, recall=0.3).collect()))
+    assert found[0] == found[1] == found[2] and seen[0] == 0 < max(seen)
+    links = {i: n for i, _, n in brute_joins(rows)}
+    assert sum(n for _, _, n in found[0]) < sum(links.values())  # so there were pairs to disagree on
+
+
 def test_null_ids_and_no_rows(spark):
     got = ngrams.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.kept) for r in got), key=repr) == sorted([(None, None, 1, True), (3, None, 1, False), (4, 4, 0, True)], key=repr)

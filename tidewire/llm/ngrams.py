@@ -14,8 +14,9 @@
    buckets moves fewer sets (long chains of buckets); buckets with the same
    members are one. In a unit of more than a few dozen members, blocks of bounded
    numbers and shingles are dealt to pairs of blocks. Each pair of a unit is
-   verified through postings of shared shingles, and counts in the first unit
-   that holds both. A task returns link counts and a spanning forest of the
+   verified through postings of shared shingles. It counts if it shares a band, in
+   whole groups too, so links don't depend on how groups are dealt, and it counts
+   in the first unit that holds both. A task returns link counts and a spanning forest of the
    verified links, so nothing grows with the square of a unit but the comparisons
    that the counts ask for, and no task holds more than two blocks.
 4. The forests' connected components are the near-duplicate classes.
@@ -150,12 +151,13 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def verify_blocks(
-    ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], threshold: float, before: list[set[int]] | None = None
+    ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], pair: tuple[int, int], threshold: float, before: list[set[int]] | None = None, bands: np.ndarray | None = None
 ) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Link counts by id, and a spanning forest of the links, among the rows of two blocks of a unit.
 
     With ``pair`` (k, k) all pairs of block k are compared, else those across the two blocks.
     ``before``: units of each row that count before this one; pairs that share any are left to it.
+    ``bands``: band hashes by row; pairs that share none don't count.
     """
     left = np.flatnonzero(block == pair[0])
     right = left if pair[0] == pair[1] else np.flatnonzero(block == pair[1])
@@ -167,14 +169,7 @@ def verify_blocks(
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     links = np.zeros(len(ids), np.int64)
-    parent = list(range(len(ids)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    group = np.arange(len(ids))
     forest = []
     for r in right:
         first = np.searchsorted(values, sets[r], "left")
@@ -184,16 +179,18 @@ def verify_blocks(
         union = size[left] + size[r] - shared
         found = left[shared >= threshold * union - 1e-9]
         found = found[found != r]
+        if bands is not None:
+            found = found[(bands[found] == bands[r]).any(axis=1)]
         if before and before[r]:
             found = found[[before[r].isdisjoint(before[k]) for k in found]] if len(found) else found
         links[r] += copies[found].sum()
         if pair[0] != pair[1]:
             links[found] += copies[r]
-        for k in found:
-            a, b = root(int(k)), root(int(r))
-            if a != b:
-                parent[a] = b
-                forest.append((int(ids[k]), int(ids[r])))
+        met, at = np.unique(group[found], return_index=True)
+        new = met != group[r]
+        if new.any():
+            forest += zip(ids[found[at[new]]].tolist(), [int(ids[r])] * int(new.sum()), strict=True)
+            group[np.isin(group, met[new])] = group[r]
     return {int(ids[k]): int(links[k]) for k in np.flatnonzero(links)}, forest
 
 
@@ -235,7 +232,7 @@ def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     ties = banded.join(shared, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     units = _units(classes, materialise(connected_components(ties), "groups"))
-    dealt = materialise(units.join(classes.select("node", F.col("row").alias("__row"), "copies"), "node"), "dealt")
+    dealt = materialise(units.join(classes.select("node", F.col("row").alias("__row"), "copies", "bands"), "node"), "dealt")
     verified = materialise(_verify(docs, dealt, n, threshold), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(verified.where("other is not null"), "id", "other")
@@ -290,21 +287,21 @@ def _verify(docs: DataFrame, dealt: DataFrame, n: int, threshold: float) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                own = [shingles(t, n) for t in some.column(3).to_pylist()]
+                own = [shingles(t, n) for t in some.column(4).to_pylist()]
                 ends = np.cumsum([0] + [len(s) for s in own])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(3)), lists], names=["id", "copies", "units", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(4)), lists], names=["id", "copies", "units", "bands", "hashes"])
         _WORDS.clear()
         release()
 
-    sized = given.select(F.col("node").alias("id"), "copies", "units", "text").mapInArrow(
-        sets, "id bigint, copies bigint, units array<struct<unit: bigint, blocks: int>>, hashes array<bigint>"
+    sized = given.select(F.col("node").alias("id"), "copies", "units", "bands", "text").mapInArrow(
+        sets, "id bigint, copies bigint, units array<struct<unit: bigint, blocks: int>>, bands array<bigint>, hashes array<bigint>"
     )
-    in_units = sized.select("id", "copies", "hashes", F.col("units.unit").alias("units"), F.explode("units").alias("u")).select("id", "copies", "hashes", "units", "u.unit", "u.blocks")
+    in_units = sized.select("id", "copies", "bands", "hashes", F.col("units.unit").alias("units"), F.explode("units").alias("u")).select("id", "copies", "bands", "hashes", "units", "u.unit", "u.blocks")
     pairs = (
         in_units.withColumn("block", F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("unit", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"), "id", "copies", "units", "block", "hashes")
+        .select("unit", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"), "id", "copies", "units", "bands", "block", "hashes")
     )
 
     def compare(group: pa.Table) -> pa.Table:
@@ -313,7 +310,8 @@ def _verify(docs: DataFrame, dealt: DataFrame, n: int, threshold: float) -> Data
         own = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         unit, pair = group["unit"][0].as_py(), (group["lower"][0].as_py(), group["upper"][0].as_py())
         before = [{u for u in units if u < unit} for units in group["units"].to_pylist()]
-        counts, forest = verify_blocks(ids, group["copies"].to_numpy(), group["block"].to_numpy(), own, pair, threshold, before)
+        bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(len(ids), -1)
+        counts, forest = verify_blocks(ids, group["copies"].to_numpy(), group["block"].to_numpy(), own, pair, threshold, before, bands)
         return pa.table(
             {
                 "id": pa.array([*counts, *(a for a, _ in forest)], pa.int64()),
