@@ -188,35 +188,34 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST, max_wo
         near = near.where(F.col("id") < head)
         size = near.agg(F.sum(F.octet_length("word") + F.octet_length("lang"))).first()[0] or 0
     tables: dict[str, dict[bytes, int]] = {}
-    for r in near.select("lang", "word", "id").toLocalIterator():  # at most ``head`` words of HEAD_BYTES in all
+    parts: dict[int, int] = {}  # of pivots with so many occurrences that one partition shouldn't have them all
+    for r in near.toLocalIterator():  # at most ``head`` words of HEAD_BYTES in all
         tables.setdefault(r.lang, {})[r.word.encode()] = r.id
+        if r.n > hot:
+            parts[r.id] = -(-r.n // hot)
     partitions = max(1, -(-int(occurrences or 0) // partition))
-    sent = spark.sparkContext.broadcast(tables)
-    # Pivots with so many occurrences that one partition shouldn't have them all: at most occurrences / hot.
-    shares = spark.sparkContext.broadcast({r.id: -(-r.n // hot) for r in words.where(F.col("n") > hot).select("id", "n").toLocalIterator()})
-    given = texts.select("lang", "text", F.lit(None).cast("array<struct<word:string,id:bigint>>").alias("own"))
+    sent = spark.sparkContext.broadcast((tables, parts))
+    given = texts.select("lang", "text", F.lit(None).cast("array<struct<word:string,id:bigint,parts:bigint>>").alias("own"))
     if known > head:
-        given = _with_own_words(texts, words.where(F.col("id") >= head), sent)
+        tail = words.where(F.col("id") >= head).select("lang", "word", "id", F.ceil(F.col("n") / hot).alias("parts"))
+        given = _with_own_words(texts, tail, sent)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, share = sent.value, shares.value
+        tables, parts = sent.value
+        own_parts: dict[int, int] = {}
         waiting: list[np.ndarray] = []
-        hot_ids = np.array(sorted(share), np.int64)
-        parts = np.array([share[k] for k in hot_ids.tolist()], np.int64)
         turn = np.random.default_rng(0)
 
         def out() -> pa.RecordBatch:
             rows, weights = merged(fragments(np.concatenate(waiting), reach))
             waiting.clear()
             pivots = rows[:, reach]
-            salts = np.zeros(len(rows), np.int64)
-            if len(hot_ids):
-                at = np.searchsorted(hot_ids, pivots).clip(0, len(hot_ids) - 1)
-                is_hot = hot_ids[at] == pivots
-                salts[is_hot] = turn.integers(0, 1 << 40, int(is_hot.sum())) % parts[at[is_hot]]
-            to = _partition(pivots, salts, partitions)
+            distinct, which = np.unique(pivots, return_inverse=True)
+            shares = np.array([parts.get(k) or own_parts.get(k, 1) for k in distinct.tolist()], np.int64)[which]
+            own_parts.clear()
+            to = _partition(pivots, turn.integers(0, 1 << 40, len(rows)) % shares, partitions)
             order = np.argsort(to, kind="stable")
-            rows, to = np.column_stack([rows, weights])[order], to[order]
+            rows, to = np.column_stack([rows, weights, shares > 1])[order], to[order]
             cuts = np.flatnonzero(np.diff(to, prepend=-1))
             packed = [pack(x) for x in np.split(rows, cuts[1:])] if len(cuts) else []
             return pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int64()), pa.array(packed, pa.binary())], names=["part", "fragments"])
@@ -227,6 +226,7 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST, max_wo
                 table = tables.get(lang, {})
                 if own:
                     table = Chain(table, {w["word"].encode(): w["id"] for w in own})
+                    own_parts.update((w["id"], w["parts"]) for w in own if w["parts"] > 1)
                 for found in words_of(text):
                     waiting.append(np.array([table.get(w, GAP) for w in found], np.int64))
                     some += len(found)
@@ -239,9 +239,11 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST, max_wo
         release()
 
     def mine(key: tuple, group: pa.Table) -> pa.Table:
-        rows = np.concatenate([unpack(x, 2 * reach + 2) for x in group["fragments"].to_pylist()])
-        rows, weights = merged(rows[:, :-1], rows[:, -1])
-        is_hot = np.isin(rows[:, reach], np.array(sorted(shares.value), np.int64))
+        width = 2 * reach + 1
+        rows = np.concatenate([unpack(x, width + 2) for x in group["fragments"].to_pylist()])
+        is_hot = rows[:, width + 1]  # goes with the pivot
+        rows, weights = merged(np.column_stack([rows[:, :width], is_hot]), rows[:, width])
+        is_hot, rows = rows[:, width] == 1, rows[:, :width]
         ids, often, open_ = [], [], []
         for some, still_open in ((~is_hot, False), (is_hot, True)):
             for m in range(2, max_words + 1):
@@ -276,7 +278,7 @@ def _with_own_words(texts: DataFrame, tail: DataFrame, sent) -> DataFrame:
     rows = numbered(texts, "row")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sent.value
+        tables, _ = sent.value
         for batch in batches:
             lang, word, row = [], [], []
             for k, (of, text) in enumerate(_texts(batch)):
@@ -289,8 +291,8 @@ def _with_own_words(texts: DataFrame, tail: DataFrame, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "row"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    met = rows.select("lang", "text", "row").mapInArrow(others, f"lang string, word string, row {kind}").join(tail.select("lang", "word", "id"), ["lang", "word"])
-    lists = met.groupBy("row").agg(F.collect_list(F.struct("word", "id")).alias("own"))  # a text's own words
+    met = rows.select("lang", "text", "row").mapInArrow(others, f"lang string, word string, row {kind}").join(tail, ["lang", "word"])
+    lists = met.groupBy("row").agg(F.collect_list(F.struct("word", "id", "parts")).alias("own"))  # a text's own words
     return rows.join(lists, "row", "left").select("lang", "text", "own")
 
 
