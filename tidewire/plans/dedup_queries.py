@@ -175,8 +175,8 @@ def bm25_tokens(spark, sf):
 @query("""SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 6)) AS unit
 FROM embeddings""")
 def embedding_normalize(spark, sf):
-    unit = scoring.l2_normalize(F.col("embedding"))
-    return views.table(spark, sf, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
+    unit = scoring.l2_quotients(F.col("embedding"))
+    return views.table(spark, sf, "embeddings").select("vec_id", F.transform(unit, lambda x: scoring.round_half_away(x, 6)).alias("unit"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR role = 'x' THEN 'DIFFERENT' WHEN role = 'user' AND turn % 5 <> 0 THEN 'SAME' ELSE 'UNCERTAIN' END AS decision FROM conversations""")
