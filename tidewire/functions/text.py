@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions import batches
+
 #: Word, token, hashtag and sentence patterns.
 WORD = r"(?U)\b[\w’'-]+\b"
 TOKEN = r"[0-9A-Za-zА-Яа-яЁё][0-9A-Za-zА-Яа-яЁё_-]{1,}"
@@ -88,6 +90,8 @@ def _stripped(markup: str | None) -> str | None:
 
 
 def strip_html(markup: Column) -> Column:
+    batches.bound()
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(_stripped)
@@ -103,6 +107,7 @@ def _diff(before: str | None, after: str | None, limit: int) -> str | None:
 
 def text_diff(before: Column, after: Column, limit: int = DIFF_MAX_CHARS) -> Column:
     """Unified diff with three lines of context; null where it is longer than ``limit``."""
+    batches.bound()
 
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions import batches
 from tidewire.functions.text import _stripped, hashtags
 from tidewire.sources.pdf import pdf_text
 
@@ -71,6 +72,7 @@ def read_feed(body: str | None) -> list[dict]:
 
 def feed_entries(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row per entry of every feed body, with its place in the feed (``entry_pos``)."""
+    batches.bound()
 
     @F.pandas_udf(ENTRY)
     def read(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,6 +126,7 @@ def document_kind(content: Column) -> Column:
 
 def documents(files: DataFrame, content: str = "content") -> DataFrame:
     """Files (``binaryFile`` rows) with ``kind`` and their ``text``: Word files, and PDF files that aren't scans."""
+    batches.bound()
 
     @F.pandas_udf("string")
     def read(values: pd.Series) -> pd.Series:
